@@ -22,25 +22,28 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, label_sample, table, text_of
 
 #: Labelled rows learnt from, at most; features kept, at most; documents a feature needs; pseudo-documents at the base rate; least share for a feature.
-LABELLED, FEATURES, LEAST, SHRINK, SHARE = 60_000, 20_000, 4, 3.0, 0.4
+LABELLED, FEATURES, LEAST, SHRINK, SHARE = 60_000, 20_000, 4, 2.0, 0.8
+#: Nats by which a feature's likelihood ratio must exceed the logarithm of the number of features tried;
+#: documents that it alone explains.
+SURE, NEW = 2.0, 2
 CUT = 0.7
 #: What a character may stand for besides itself (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
-#: Nats: for a look-alike, for leaving a character out, for each letter of a run left out.
-ALIKE, SKIP, SHORTEN = 0.5, 4.0, 0.3
+#: Nats: for a look-alike, for leaving a character out, for each letter of a run left out, for one of two.
+ALIKE, SKIP, SHORTEN, SINGLE = 0.5, 9.0, 0.3, 8.0
 LETTER, SYMBOL = r"[^\W\d_]", re.escape("".join(LEET))
 #: Suspicious: look-alikes among letters; a letter three times or more; single letters apart; letters joined by dots and the like.
 TOKEN = re.compile(rf"(?<![\w])(?:{LETTER}[ .\-_*]{{1,2}}){{3,24}}{LETTER}(?![\w])|[{SYMBOL}]*{LETTER}+(?:[{SYMBOL}.\-_]+{LETTER}+)+|[{SYMBOL}]{LETTER}{{2,}}|{LETTER}*({LETTER})\1\1{LETTER}*")
-QUICK = re.compile(rf"{LETTER}[{SYMBOL}.\-_]+{LETTER}|[{SYMBOL}]{LETTER}{{2}}|({LETTER})\1\1|(?<![\w]){LETTER}[ .\-_*]{{1,2}}{LETTER}[ .\-_*]{{1,2}}{LETTER}[ .\-_*]")
 WORD = re.compile(LETTER + "+")
 BEGINNINGS, LONGEST = (4, 5, 6), 40
 
@@ -67,8 +70,10 @@ def trigrams(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(27**3, np.int64)
         for b in batches:
-            x = letters(" " + "  ".join(b.column(0).to_pylist()) + " ")
-            total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
+            texts = b.column(0).to_pylist()
+            for k in range(0, len(texts), 500):
+                x = letters(" " + "  ".join(texts[k : k + 500]) + " ")
+                total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
@@ -94,7 +99,7 @@ def restore(token: str, lm: np.ndarray) -> str:
             k = _code[ord(c)] if ord(c) < 0x250 else 0
             if k:
                 a = chr(96 + k)
-                slots.append([(a * m, SHORTEN * (run - m)) for m in range(1, min(run, 2) + 1)])
+                slots.append([(a, 0.0)] if run == 1 else [(a, SINGLE if run == 2 else SHORTEN * run), (a * 2, SHORTEN * (run - 2))])
         elif single or c not in LEET:
             continue
         else:
@@ -129,13 +134,53 @@ class Restorer:
             found = self.known[token] = restore(token, self.lm)
         return found
 
-    def restored(self, text: str) -> list[str]:
-        return [r for m in TOKEN.finditer(text) if (r := self.token(m[0]))] if QUICK.search(text) else []
+    def words(self, texts: list[str]) -> list[set[str]]:
+        """The words of each text, as it stands and as restored."""
+        found = [set(WORD.findall(t.lower())) for t in texts]
+        for i, begin, end in suspects(texts):
+            found[i].update(filter(None, (self.token(m[0]) for m in TOKEN.finditer(texts[i][begin:end]))))
+        return found
+
 
-    def words(self, text: str) -> set[str]:
-        """Words of the text as it stands and as restored."""
-        low = text.lower()
-        return {*WORD.findall(low), *self.restored(low)}
+_alpha = np.array([chr(i).isalpha() for i in range(0x250)] + [True])
+_symbol = np.array([chr(i) in LEET or chr(i) in ".-_" for i in range(0x250)] + [True])
+_gap = np.array([chr(i) in " .-_*" for i in range(0x250)] + [False])
+#: Characters before and behind a suspicious place that are looked at.
+BEFORE, BEHIND = 24, 60
+
+
+def suspects(texts: list[str]) -> list[tuple[int, int, int]]:
+    """Stretches (text, begin, end), at word limits where there are any near, around
+    all places where TOKEN may match: found by whole-array comparison."""
+    points = np.frombuffer("\n\n\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    if len(points) < 3:
+        return []
+    small = np.minimum(points, 0x250)
+    letter, symbol, gap = _alpha[small], _symbol[small], _gap[small]
+    a, b, c = letter[:-2], letter[1:-1], letter[2:]
+    hit = a & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
+    hit |= symbol[:-2] & b & c
+    hit |= a & symbol[1:-1] & c
+    hit[:-1] |= a[:-1] & symbol[1:-2] & symbol[2:-1] & letter[3:]
+    lone = a & gap[1:-1] & (c | gap[2:])
+    lone[1:] &= ~letter[:-3]
+    near = np.flatnonzero(lone)  # letters apart: one soon follows the other
+    near = near[:-1][np.diff(near) <= 3]
+    hit[near] = True
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(size + 3) - size - 3
+    out: list[tuple[int, int, int]] = []
+    for i, p in zip((owner := np.searchsorted(begins, at, side="right") - 1).tolist(), (at - begins[owner]).tolist(), strict=True):
+        if out and out[-1][0] == i and p < out[-1][2] - 30:
+            continue
+        t = texts[i]
+        lo = max(0, p - BEFORE)
+        lo = max(lo, t.rfind(" ", lo, p) + 1, t.rfind("\n", lo, p) + 1)
+        out.append((i, lo, p + BEHIND))
+    return out
 
 
 def features(words: set[str]) -> set[str]:
@@ -155,10 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
         model, known = sent.value
         restorer, counts = Restorer(model), {}
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for i in [i for i, d in enumerate(ids) if d in known]:
-                y = known[ids[i]]
-                for f in features(restorer.words(b.column(1)[i].as_py())):
+            mine = [(known[d], b.column(1)[i].as_py()) for i, d in enumerate(b.column(0).to_pylist()) if d in known]
+            for (y, _), words in zip(mine, restorer.words([t for _, t in mine]), strict=True):
+                for f in features(words):
                     c = counts.setdefault(f, [0, 0])
                     c[y] += 1
             if len(counts) > 500_000:
@@ -170,21 +214,49 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["f", "n0", "n1"])
 
     base = sum(sample.values()) / len(sample)
-    share = (F.col("n1") + F.lit(SHRINK * base)) / (F.col("n0") + F.col("n1") + F.lit(SHRINK))
+    if not 0 < base < 1:
+        return {}, base
+    n = F.col("n0") + F.col("n1")
+    gain = F.col("n1") * F.log(F.col("n1") / (n * base)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (n * (1 - base)))).otherwise(0.0)
+    tried = Observation()
     rows = (
         docs.select("doc_id", text_of().alias("text"))
         .mapInArrow(run, "f string, n0 long, n1 long")
         .groupBy("f")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        .observe(tried, F.count(F.lit(1)).alias("n"))
         .where(F.col("n1") >= LEAST)
-        .withColumn("share", share)
-        .where(F.col("share") >= SHARE)
-        .orderBy(F.desc("n1"), "f")
+        .withColumn("share", (F.col("n1") + F.lit(SHRINK * base)) / (n + F.lit(SHRINK)))
+        .withColumn("gain", gain)
+        .where((F.col("share") >= SHARE) & (F.col("gain") > SURE))
+        .orderBy(F.desc("gain"), "f")
         .limit(FEATURES)
         .collect()
     )
+    least = math.log(max(1, tried.get["n"])) + SURE
+    shares = {r.f: r.share for r in rows if r.gain >= least}
+    order = list(shares)  # best first
+    number = {f: i for i, f in enumerate(order)}
+
+    def held(batches):
+        model, known = sent.value
+        restorer = Restorer(model)
+        for b in batches:
+            mine = [b.column(1)[i].as_py() for i, d in enumerate(b.column(0).to_pylist()) if known.get(d)]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(number[f] for f in features(w) if f in number) for w in restorer.words(mine)], pa.list_(pa.int32()))], ["held"])
+
+    # Features of at most LABELLED documents. A feature that explains fewer than NEW of the toxic ones that better ones leave unexplained is left out.
+    left = [set(r.held) for r in docs.select("doc_id", text_of().alias("text")).mapInArrow(held, "held array<int>").where(F.size("held") > 0).collect()]
     sent.unpersist()
-    return {r.f: r.share for r in rows}, base
+    kept: dict[str, float] = {}
+    weight = [math.log(p / (1 - p)) for p in shares.values()]
+    while left:
+        i, n1 = max(Counter(i for x in left for i in x).items(), key=lambda kv: (kv[1] * weight[kv[0]], -kv[0]))
+        if n1 < NEW:
+            break
+        kept[order[i]] = shares[order[i]]
+        left = [x for x in left if i not in x]
+    return kept, base
 
 
 def fit(docs: DataFrame, labels: DataFrame, train):
@@ -194,13 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, train):
     return docs.sparkSession.sparkContext.broadcast((lm, shares, base))
 
 
-def judge(words: set[str], shares: dict[str, float], base: float) -> float:
-    """Noisy or over words; of a word's features the strongest counts."""
+def judge(words: set[str], shares: dict[str, float], heads: set[str], base: float) -> float:
+    """Noisy or over words; of a word's features the strongest counts. ``heads`` has
+    the first four letters of all features."""
     doubt = 1 - base
     get = shares.get
     for w in words:
-        p = max(get(w, 0.0), get(w[:4] + "-", 0.0), get(w[:5] + "-", 0.0) if len(w) > 4 else 0.0, get(w[:6] + "-", 0.0) if len(w) > 5 else 0.0)
-        doubt *= 1 - p
+        if w[:4] in heads:
+            doubt *= 1 - max(get(w, 0.0), *(get(w[:k] + "-", 0.0) for k in BEGINNINGS if len(w) >= k), 0.0)
     return 1 - doubt
 
 
@@ -211,9 +284,10 @@ def apply(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         lm, shares, base = model.value
-        restorer = Restorer(lm)
+        restorer, heads = Restorer(lm), {f[:4] for f in shares}
         for b in batches:
-            scores = [judge(restorer.words(t or ""), shares, base) for t in b.column(at).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            scores = [judge(words, shares, heads, base) for k in range(0, len(texts), 500) for words in restorer.words(texts[k : k + 500])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
