@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    "op1_pii": "pii", "op5_licenses": "licenses", "op6_toxicity": "toxicity", "op8_media": "media", "op10_byte_bpe": "bpe",
+    "op1_pii": "pii", "op5_licenses": "licenses", "op6_toxicity": "toxicity", "op7_minhash": "neardup", "op8_media": "media", "op10_byte_bpe": "bpe",
 }
 
 
