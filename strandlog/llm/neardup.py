@@ -175,10 +175,11 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def prefix_pairs(texts: DataFrame, words: int) -> DataFrame:
-    """All pairs (a < b) of these documents that may reach the threshold: two sets
-    that do share one of the first n - ceil(0.8 n) + 1 shingles, by any common order;
-    by rising frequency few others do."""
+def prefix_pairs(texts: DataFrame, label: DataFrame, words: int) -> DataFrame:
+    """All pairs (a, b) of these documents that may reach the threshold, of different
+    components, one at least minor. label: doc_id, component, minor. Two sets that do
+    share one of their first n - ceil(0.8 n) + 1 shingles, by any common order; by
+    rising frequency few others do."""
 
     def run(batches):
         sets = Shingler(words)
@@ -188,48 +189,59 @@ def prefix_pairs(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), np.int64))], ["doc_id", "item", "n"])
 
     items = stored(texts.mapInArrow(run, "doc_id long, item long, n long"), "items")
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
-    ranked = items.join(often.where("often > 1"), "item").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"), F.count(F.lit(1)).alias("shared"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = items.join(often, "item").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"), F.count(F.lit(1)).alias("shared"))
     # Shingles that only one document has come first in the order, and take up as much of the prefix.
     room = F.col("n") - F.expr(f"(n * {THRESHOLD} + 99) div 100") + 1 - (F.col("n") - F.col("shared"))
-    first = stored(ranked.select("doc_id", "n", F.explode(F.slice("order", 1, F.greatest(room.cast("int"), F.lit(0)))).alias("x")).select("doc_id", "n", F.col("x.item").alias("item")), "prefixes")
-    a, b = first.toDF("a", "n_a", "item"), first.toDF("b", "n_b", "item")
-    return a.join(b, "item").where(f"a < b and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").select("a", "b").distinct()
+    first = ranked.select("doc_id", "n", F.explode(F.slice("order", 1, F.greatest(room.cast("int"), F.lit(0)))).alias("x"))
+    first = stored(first.join(label, "doc_id").select("doc_id", "n", F.col("x.item").alias("item"), "component", "minor"), "prefixes")
+    a, b = first.where("minor").drop("minor").toDF("a", "n_a", "item", "ca"), first.drop("minor").toDF("b", "n_b", "item", "cb")
+    return a.join(b, "item").where(f"ca <> cb and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").select("a", "b").distinct()
+
+
+def still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc_id, component, n of members of buckets that hold several components."""
+    where = members.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    apart = where.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
+    return stored(where.join(apart, "key"), "apart")
 
 
 def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     docs = docs.select("doc_id", "text")
     sketched = stored(sketches(docs, words), "sketches")
-    classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
-    leading = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    leading = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
     buckets = leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(leading.join(buckets, "key").select("key", "doc_id", "n_shingles", "lead", "size"), "members")
-    stars = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    ends = stars.select("a").union(stars.select("b")).distinct().toDF("doc_id")
+    members = stored(leading.join(buckets, "key").select("key", "doc_id", "lead", "size"), "members")
+    tried = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    ends = tried.select("a").union(tried.select("b")).distinct().toDF("doc_id")
     texts = stored(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = stored(confirm(stars, texts, words), "links")
+    links = stored(confirm(tried, texts, words), "links")
     found = components(links)
+    rest = still_apart(members.where("size > 2").select("key", "doc_id"), found)
+
+    def beyond(pairs: DataFrame) -> DataFrame:
+        """Pairs put in order, less those compared before."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
-    # Members of buckets that are still apart, and pairs of them not compared yet.
-    where = members.where("size > 2").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = where.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
-    rest = stored(where.join(apart, "key").select("key", "doc_id", "component", "lead", "n"), "rest")
     few, many = rest.where(f"n <= {SMALL}"), rest.where(f"n > {SMALL}")
     b = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    pairs = few.where("doc_id <> lead").withColumnRenamed("doc_id", "a").join(b, "key").where("a < b and component <> cb").select("a", "b")
-    big = texts.join(many.select("doc_id").distinct(), "doc_id", "left_semi")
-    label = many.select("doc_id", "component").distinct()
-    if not big.isEmpty():
-        far = prefix_pairs(big, words)
-        far = far.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-        pairs = pairs.union(far)
-    pairs = stored(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = few.withColumnRenamed("doc_id", "a").join(b, "key").where("a < b and component <> cb").select("a", "b")
+    if not many.isEmpty():
+        sizes = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
+        label = many.join(largest, "key").groupBy("doc_id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("minor"))
+        label = stored(label, "labels")
+        pairs = pairs.union(prefix_pairs(texts.join(label.select("doc_id"), "doc_id", "left_semi"), label, words))
+    pairs = beyond(pairs)
     if not pairs.isEmpty():
         found = components(links.union(confirm(pairs, texts, words)))
 
     whole = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    return sketched.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    return sketched.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left").select("doc_id", "n_shingles", component)
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
