@@ -49,7 +49,6 @@ def features(text: str) -> list[float]:
     ]
 
 
-N_FEATURES = 29
 N_FEATURES = len(features("a b"))
 
 
@@ -120,13 +119,15 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) ->
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """An upper estimate of the share of positives among the unlabelled, from scores of both."""
+    """The estimated share of positives among the unlabelled, from scores of both."""
     p, u = np.sort(positive), np.sort(unlabelled)
     at = np.quantile(positive, np.linspace(0.02, 0.9, 89))
     above_p = 1 - np.searchsorted(p, at) / len(p)
     above_u = 1 - np.searchsorted(u, at) / len(u)
     margin = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))
-    return float(np.clip(((above_u + margin / 2) / above_p).min(), 0.01, 0.99))
+    best = np.argmin((above_u + margin) / above_p)  # the margin settles where to look
+    # Too high a prior makes the negative part of the risk vanish early; one that is as much too low does little harm.
+    return float(np.clip(above_u[best] / above_p[best] - margin / 2, 0.01, 0.99))
 
 
 def held_out():
@@ -141,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable) -> tuple[Network, float]
     p, u = ([found[i] for i in sorted(ids) if i in found] for ids in (positives, others))
     if not p or not u:
         return None
-    p, u = np.array(p), np.array(u)
+    rng = np.random.default_rng(SEED)
+    p, u = rng.permutation(np.array(p)), rng.permutation(np.array(u))
     half = train(p[::2], u[::2], None)
     prior = class_prior(half.score(p[1::2] if len(p) > 1 else p), half.score(u[1::2] if len(u) > 1 else u))
     return train(p, u, prior), prior
