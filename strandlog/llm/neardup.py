@@ -27,6 +27,7 @@ smallest. Extra columns are left out.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,26 @@ def prefix_pairs(texts: DataFrame, label: DataFrame, words: int) -> DataFrame:
     return a.join(b, "item").where(f"ca <> cb and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").select("a", "b").distinct()
 
 
+#: Spark's Bloom filter of a join's smaller side, at every size of input; it never has more than 8 MB.
+BLOOM = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t", "expectedNumItems": "4000000", "numBits": "67108864"}
+
+
+@contextmanager
+def bloom_filters(spark: SparkSession):
+    """Inside, joins drop rows without a partner before the shuffle, as far as the
+    filter tells; the join itself stays exact. Spark filters only by a side that has
+    a comparison in it."""
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in BLOOM.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
     """key, doc_id, component, n of members of buckets that hold several components."""
     where = members.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -215,8 +236,9 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     buckets = leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(leading.join(buckets, "key").select("key", "doc_id", "lead", "size"), "members")
     tried = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    ends = tried.select("a").union(tried.select("b")).distinct().toDF("doc_id")
-    texts = stored(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    ends = stored(tried.select("a").union(tried.select("b")).distinct().select(F.col("a").alias("doc_id"), F.lit(1).alias("chosen")), "ends")
+    with bloom_filters(docs.sparkSession):
+        texts = stored(docs.join(ends.where("chosen = 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     links = stored(confirm(tried, texts, words), "links")
     found = components(links)
     rest = still_apart(members.where("size > 2").select("key", "doc_id"), found)
