@@ -12,8 +12,12 @@ one row each. In each bucket all members are compared with its smallest, then
 what is left apart: two members of a bucket in different components that were not
 compared yet. Buckets with more than ``SMALL`` such members are not expanded into
 pairs; their members go through an exact prefix filter (rarest shingles first),
-which proposes every pair at or above the threshold. Each link is confirmed on
-full sets.
+which proposes every pair at or above the threshold.
+
+Each set also has a parity map of BITS bits: a bit tells whether an odd number of
+its shingles hash there. Two maps differ in at most as many bits as the sets differ
+in shingles, so pairs whose maps differ in too many cannot be linked and are dropped
+without their texts. Every other pair is compared on full sets.
 
 Links become components by alternating large and small stars, each round written
 to the shared folder. Sets are of 64-bit hashes of shingles.
@@ -40,7 +44,9 @@ from .common import stored, table, text_of
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 THRESHOLD = 80  # per cent
+HELD = 2_000_000  # shingles of sets that a task keeps while it compares
 SMALL = 24
+BITS = 512
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -107,21 +113,42 @@ def bands(items: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """The parity map of a set, as BITS / 64 numbers."""
+    odd = np.bincount((items >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their maps don't rule out. maps: doc_id, n, parity (null: nothing is known)."""
+    a, b = (maps.toDF(x, f"n_{x}", f"parity_{x}") for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(within()).select("a", "b")
+
+
+def within():
+    """Whether sets of n_a and n_b shingles may share enough, by parity_a and parity_b."""
+    differ = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(BITS // 64))
+    both = f"least(n_a, n_b, (n_a + n_b - ({differ})) div 2)"
+    return F.expr(f"parity_a is null or parity_b is null or 100 * {both} >= {THRESHOLD} * (n_a + n_b - {both})")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null: empty), bands."""
+    """doc_id, n_shingles, set_hash (null: empty), bands, parity."""
 
     def run(batches):
         sets = Shingler(words)
         for b in batches:
-            n, digest, keys = [], [], []
+            n, digest, keys, parity = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = sets(t)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(bands(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
+                parity.append(parities(s))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists], ["doc_id", "n_shingles", "set_hash", "bands", "parity"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, parity array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -133,25 +160,29 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: doc_id, text."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b), a < b, whose full sets are similar. texts: doc_id, text."""
+    left = pairs.where("a < b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         sets = Shingler(words)
         held: dict[int, np.ndarray] = {}
+        room = HELD
 
         def of(i, t):
-            s = held.get(i)
-            if s is None:
-                if len(held) > 64:
+            nonlocal room
+            if i not in held:
+                s = sets(t.as_py())
+                if room < len(s):
                     held.clear()
-                s = held[i] = sets(t)
-            return s
+                    room = HELD
+                held[i] = s
+                room -= len(s)
+            return held[i]
 
         for b in batches:
-            a, c, ta, tc = (b.column(i).to_pylist() for i in range(4))
-            keep = [similar(of(i, t), sets(u)) for i, t, u in zip(a, ta, tc, strict=True)]
+            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keep = [similar(of(i, t), of(k, u)) for i, k, t, u in zip(a, c, b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -178,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def prefix_pairs(texts: DataFrame, label: DataFrame, words: int) -> DataFrame:
     """All pairs (a, b) of these documents that may reach the threshold, of different
-    components, one at least minor. label: doc_id, component, minor. Two sets that do
+    components, one at least minor. label: doc_id, component, minor, parity. Two sets that do
     share one of their first n - ceil(0.8 n) + 1 shingles, by any common order; by
     rising frequency few others do."""
 
@@ -195,9 +226,9 @@ def prefix_pairs(texts: DataFrame, label: DataFrame, words: int) -> DataFrame:
     # Shingles that only one document has come first in the order, and take up as much of the prefix.
     room = F.col("n") - F.expr(f"(n * {THRESHOLD} + 99) div 100") + 1 - (F.col("n") - F.col("shared"))
     first = ranked.select("doc_id", "n", F.explode(F.slice("order", 1, F.greatest(room.cast("int"), F.lit(0)))).alias("x"))
-    first = stored(first.join(label, "doc_id").select("doc_id", "n", F.col("x.item").alias("item"), "component", "minor"), "prefixes")
-    a, b = first.where("minor").drop("minor").toDF("a", "n_a", "item", "ca"), first.drop("minor").toDF("b", "n_b", "item", "cb")
-    return a.join(b, "item").where(f"ca <> cb and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").select("a", "b").distinct()
+    first = stored(first.join(label, "doc_id").select("doc_id", "n", F.col("x.item").alias("item"), "component", "parity", "minor"), "prefixes")
+    a, b = first.where("minor").drop("minor").toDF("a", "n_a", "item", "ca", "parity_a"), first.drop("minor").toDF("b", "n_b", "item", "cb", "parity_b")
+    return a.join(b, "item").where(f"ca <> cb and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").where(within()).select("a", "b").distinct()
 
 
 #: Spark's Bloom filter of a join's smaller side, at every size of input; it never has more than 8 MB.
@@ -237,9 +268,12 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     members = stored(leading.join(buckets, "key").select("key", "doc_id", "lead", "size"), "members")
     tried = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     ends = stored(tried.select("a").union(tried.select("b")).distinct().select(F.col("a").alias("doc_id"), F.lit(1).alias("chosen")), "ends")
-    with bloom_filters(docs.sparkSession):
-        texts = stored(docs.join(ends.where("chosen = 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = stored(confirm(tried, texts, words), "links")
+    spark, chosen = docs.sparkSession, ends.where("chosen = 1").select("doc_id")
+    known = F.when(F.min("set_hash") == F.max("set_hash"), F.min("parity")).alias("parity")
+    with bloom_filters(spark):
+        texts = stored(docs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        maps = stored(sketched.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n_shingles").alias("n"), known), "maps")
+        links = stored(confirm(stored(may_link(tried, maps), "close"), texts, words), "links")
     found = components(links)
     rest = still_apart(members.where("size > 2").select("key", "doc_id"), found)
 
@@ -248,18 +282,23 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        with bloom_filters(spark):
+            return stored(confirm(pairs, texts, words), "links")
+
     few, many = rest.where(f"n <= {SMALL}"), rest.where(f"n > {SMALL}")
     b = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    pairs = few.withColumnRenamed("doc_id", "a").join(b, "key").where("a < b and component <> cb").select("a", "b")
+    pairs = few.withColumnRenamed("doc_id", "a").join(b, "key").where("a < b and component <> cb").select("a", "b").distinct()
+    pairs = may_link(pairs, maps)
     if not many.isEmpty():
         sizes = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
         label = many.join(largest, "key").groupBy("doc_id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("minor"))
-        label = stored(label, "labels")
+        label = stored(label.join(maps.select("doc_id", "parity"), "doc_id"), "labels")
         pairs = pairs.union(prefix_pairs(texts.join(label.select("doc_id"), "doc_id", "left_semi"), label, words))
     pairs = beyond(pairs)
     if not pairs.isEmpty():
-        found = components(links.union(confirm(pairs, texts, words)))
+        found = components(links.union(linked(pairs)))
 
     whole = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

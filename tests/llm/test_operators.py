@@ -236,3 +236,13 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in after.collect()} == want
         docs = after
     assert docs.count() > 0
+
+
+def test_parity_maps_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 60, 700):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
+            differ = sum(int(x).bit_count() for x in (neardup.parities(a) ^ neardup.parities(b)).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b))
