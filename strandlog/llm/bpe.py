@@ -31,7 +31,7 @@ from .common import table, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States kept at once; longest piece, in bytes, that walks the table with others; bytes of text taken at once.
-STATES, PIECE, BATCH = 200_000, 64, 2 << 20
+STATES, PIECE, BATCH = 80_000, 64, 1 << 20
 
 
 def vocabulary_path() -> str:

@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of texts: sorted distinct 64-bit hashes of runs of ``words`` words."""
 
-    def __init__(self, words: int, most: int = 500_000):
+    def __init__(self, words: int, most: int = 100_000):
         self.words, self.most, self.known = words, most, {}
 
     def __call__(self, text: str) -> np.ndarray:
