@@ -2,8 +2,9 @@
 
 Words may come disguised: letters written as look-alikes, drawn out, or spaced
 apart. A suspicious token becomes a lattice of the letters each of its characters
-may stand for (or nothing); the Viterbi path under a character trigram model of
-the corpus, with the channel's costs, is the restored word. Restored text is then
+may stand for (or nothing, or at a separator a word's end); the Viterbi path under
+a character trigram model of the corpus, with the channel's costs, is the restored
+word, or words. Restored text is then
 scored: words and their beginnings carry the share of toxic documents among the
 training documents that hold them, shrunk towards the base rate; a document's
 score is that of at least one of its words being meant (noisy or).
@@ -23,6 +24,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,20 @@ CUT = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
 #: Nats: for a look-alike, for leaving a character out, for each letter of a run left out, for one of two.
 ALIKE, SKIP, SHORTEN, SINGLE = 0.5, 9.0, 0.3, 8.0
+#: Nats for a word's end at a separator that is no wider than the token's others.
+BREAK = 1.0
 LETTER, SYMBOL = r"[^\W\d_]", re.escape("".join(LEET))
-#: Suspicious: look-alikes among letters; a letter three times or more; single letters apart; letters joined by dots and the like.
-TOKEN = re.compile(rf"(?<![\w])(?:{LETTER}[ .\-_*]{{1,2}}){{3,24}}{LETTER}(?![\w])|[{SYMBOL}]*{LETTER}+(?:[{SYMBOL}.\-_]+{LETTER}+)+|[{SYMBOL}]{LETTER}{{2,}}|{LETTER}*({LETTER})\1\1{LETTER}*")
+#: Letters or look-alikes apart, one or two separators between them; or letters with look-alikes around them, or joined by dots and the like.
+UNIT = rf"(?:{LETTER}|[{re.escape(''.join(LEET).replace('*', ''))}])"
+SPACED = re.compile(rf"(?<![^\W_]){UNIT}(?![^\W_])(?:[ .\-_*]{{1,2}}+{UNIT}(?![^\W_])){{3,}}+")
+TOKEN = re.compile(rf"{SPACED.pattern}|(?:(?<![{SYMBOL}])[{SYMBOL}]++|(?<!{LETTER})){LETTER}++(?:[{SYMBOL}.\-_]++{LETTER}++)*+[{SYMBOL}]*+")
+#: What makes a token suspicious: a letter three times, letters that something joins, a look-alike before or behind two letters.
+ODD = re.compile(rf"({LETTER})\1\1|{LETTER}[{SYMBOL}.\-_]+{LETTER}|[{SYMBOL}]{LETTER}{{2}}|{LETTER}{{2}}[{SYMBOL}]")
 WORD = re.compile(LETTER + "+")
+GAP = re.compile(r"[ .\-_*]")
 BEGINNINGS, LONGEST = (4, 5, 6), 40
+#: Longest token that is remembered.
+KNOWN = 200
 
 
 def _fold(c: str) -> int:
@@ -85,39 +96,69 @@ def trigrams(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def restore(token: str, lm: np.ndarray) -> str:
-    """The Viterbi path through the token's lattice. A state is the last two letters."""
+def tokens(text: str, begin: int = 0, end: int | None = None) -> Iterator[str]:
+    """Suspicious tokens of text[begin:end]."""
+    for m in TOKEN.finditer(text, begin, len(text) if end is None else end):
+        if ODD.search(m[0]) or SPACED.fullmatch(m[0]) and WORD.search(m[0]):
+            yield m[0]
+
+
+def lattice(token: str, breaks: bool) -> list[list[tuple[str, float]]]:
+    """(letters, cost) of what each character, run or separator may stand for; with
+    ``breaks``, a separator may also be a word's end, written as a space."""
     low = token.lower()
+    gap = " .-_*" if SPACED.fullmatch(low) else ".-_"
+    pieces = [m[0] for m in re.finditer(rf"[{re.escape(gap)}]+|([^{re.escape(gap)}])\1*", low)]
+    narrow = min((len(x) for x in pieces if x[0] in gap), default=0)
     slots: list[list[tuple[str, float]]] = []
-    i, single = 0, bool(re.fullmatch(rf"(?:{LETTER}[ .\-_*]{{1,2}})+{LETTER}", low))
-    while i < len(low) and len(slots) < LONGEST:
-        c, run = low[i], 1
-        while i + run < len(low) and low[i + run] == c:
-            run += 1
-        i += run
-        if c.isalpha():
-            k = _code[ord(c)] if ord(c) < 0x250 else 0
-            if k:
-                a = chr(96 + k)
-                slots.append([(a, 0.0)] if run == 1 else [(a, SINGLE if run == 2 else SHORTEN * run), (a * 2, SHORTEN * (run - 2))])
-        elif single or c not in LEET:
-            continue
-        else:
+    for piece in pieces:
+        if len(slots) >= LONGEST:
+            break
+        c, run = piece[0], len(piece)
+        if c in gap:
+            if breaks:
+                slots.append([("", 0.0), (" ", BREAK if run == narrow else 0.0)])
+        elif c in LEET:
             slots.append([("", SKIP)] + [(a, ALIKE + SHORTEN * (run - 1)) for a in LEET[c]])
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in slots:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        elif c.isalpha() and (k := int(_code[ord(c)]) if ord(c) < 0x250 else 0):
+            a = chr(96 + k)
+            slots.append([(a, 0.0)] if run == 1 else [(a, SINGLE if run == 2 else SHORTEN * run), (a * 2, SHORTEN * (run - 2))])
+    return slots
+
+
+def restore(token: str, lm: np.ndarray, breaks: bool = False) -> str:
+    """The Viterbi path through the token's lattice. A state is the last two letters,
+    with the path to it as a chain."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in lattice(token, breaks):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             for word, cost in options:
                 x, y, s = a, b, score - cost
                 for ch in word:
-                    k = ord(ch) - 96
+                    k = max(0, ord(ch) - 96)
                     s += float(lm[x, y, k])
                     x, y = y, k
                 if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, path + word)
+                    new[x, y] = (s, (path, word) if word else path)
         best = new
-    return max((s + float(lm[a, b, 0]), p) for (a, b), (s, p) in best.items())[1]
+    at, out = max(((s + float(lm[a, b, 0]), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])[1], []
+    while at:
+        at, word = at
+        out.append(word)
+    return "".join(reversed(out))
+
+
+def readings(token: str, lm: np.ndarray) -> set[str]:
+    """Words the token may be: with and without its last look-alikes (they may be
+    punctuation), in one and split where the model has a word end."""
+    core, found = token if SPACED.fullmatch(token) else token.rstrip("".join(LEET)), set()
+    for form in {token, core}:
+        if form == token or ODD.search(form):
+            found.add(restore(form, lm))
+            if GAP.search(form):
+                found.update(restore(form, lm, True).split())
+    return found - {""}
 
 
 class Restorer:
@@ -126,19 +167,22 @@ class Restorer:
     def __init__(self, lm: np.ndarray, most: int = 100_000):
         self.lm, self.most, self.known = lm, most, {}
 
-    def token(self, token: str) -> str:
+    def token(self, token: str) -> set[str]:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            found = self.known[token] = restore(token, self.lm)
+            found = readings(token, self.lm)
+            if len(token) <= KNOWN:
+                self.known[token] = found
         return found
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """The words of each text, as it stands and as restored."""
         found = [set(WORD.findall(t.lower())) for t in texts]
         for i, begin, end in suspects(texts):
-            found[i].update(filter(None, (self.token(m[0]) for m in TOKEN.finditer(texts[i][begin:end]))))
+            for token in tokens(texts[i][begin:end]):
+                found[i] |= self.token(token)
         return found
 
 
@@ -161,8 +205,9 @@ def suspects(texts: list[str]) -> list[tuple[int, int, int]]:
     hit = a & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
     hit |= symbol[:-2] & b & c
     hit |= a & symbol[1:-1] & c
+    hit |= a & b & symbol[2:]
     hit[:-1] |= a[:-1] & symbol[1:-2] & symbol[2:-1] & letter[3:]
-    lone = a & gap[1:-1] & (c | gap[2:])
+    lone = (a | symbol[:-2]) & gap[1:-1] & (c | symbol[2:] | gap[2:])
     lone[1:] &= ~letter[:-3]
     near = np.flatnonzero(lone)  # letters apart: one soon follows the other
     near = near[:-1][np.diff(near) <= 3]

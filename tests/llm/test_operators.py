@@ -246,3 +246,24 @@ def test_parity_maps_never_rule_out_a_link():
             b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
             differ = sum(int(x).bit_count() for x in (neardup.parities(a) ^ neardup.parities(b)).view(np.uint64))
             assert differ <= len(np.setxor1d(a, b))
+
+
+def idiot_model():
+    lm = np.log(np.full((27, 27, 27), 1 / 27, np.float32))
+    for word in ("idiot", "moron", "stupid", "loser", "you"):
+        x = toxicity.letters(f" {word} ")
+        for a, b, c in zip(x, x[1:], x[2:]):
+            lm[a, b, c] = -0.1
+        lm[0, 0, x[1]] = lm[:, 0, x[1]] = -0.1
+    return lm
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("y o u i d i o t", "you idiot"), ("so y o u  s t u p i d  i d i o t", "you stupid idiot"), ("you.1diot", "you idiot"), ("y_o_u_m_0_r_o_n", "you moron"), ("an idi0+", "idiot"),
+        ("a $7up1d l0s3r!", "stupid loser"), ("an idio7", "idiot"), ("1 d 1 0 t", "idiot"), ("i d i o t " * 8, "idiot"), ("1d10t!", "idiot"),
+    ],
+)
+def test_toxicity_restores_phrases_and_ends(text, words):
+    assert set(words.split()) <= toxicity.Restorer(idiot_model()).words([text])[0]
