@@ -112,8 +112,6 @@ def lattice(token: str, breaks: bool) -> list[list[tuple[str, float]]]:
     narrow = min((len(x) for x in pieces if x[0] in gap), default=0)
     slots: list[list[tuple[str, float]]] = []
     for piece in pieces:
-        if len(slots) >= LONGEST:
-            break
         c, run = piece[0], len(piece)
         if c in gap:
             if breaks:
@@ -181,51 +179,59 @@ class Restorer:
         """The words of each text, as it stands and as restored."""
         found = [set(WORD.findall(t.lower())) for t in texts]
         for i, begin, end in suspects(texts):
-            for token in tokens(texts[i][begin:end]):
+            for token in tokens(texts[i], begin, end):
                 found[i] |= self.token(token)
         return found
 
 
-_alpha = np.array([chr(i).isalpha() for i in range(0x250)] + [True])
-_symbol = np.array([chr(i) in LEET or chr(i) in ".-_" for i in range(0x250)] + [True])
+_letter = np.array([bool(re.fullmatch(LETTER, chr(i))) for i in range(0x250)] + [True])
+_alnum = np.array([chr(i).isalnum() for i in range(0x250)] + [False])
+_leet = np.array([chr(i) in LEET for i in range(0x250)] + [True])
+_join = np.array([chr(i) in LEET or chr(i) in ".-_" for i in range(0x250)] + [True])
 _gap = np.array([chr(i) in " .-_*" for i in range(0x250)] + [False])
-#: Characters before and behind a suspicious place that are looked at.
-BEFORE, BEHIND = 24, 60
+
+
+def _runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of True."""
+    edge = np.flatnonzero(np.diff(member.astype(np.int8), prepend=0, append=0))
+    return edge[::2], edge[1::2]
 
 
 def suspects(texts: list[str]) -> list[tuple[int, int, int]]:
-    """Stretches (text, begin, end), at word limits where there are any near, around
-    all places where TOKEN may match: found by whole-array comparison."""
+    """Stretches (text, begin, end) that hold all suspicious tokens whole, found by
+    whole-array comparison: runs of the characters a joined token is made of, with
+    something odd in them, and runs of separators and single characters, three or
+    more; those that touch are one. Two more characters follow each, by which a
+    token's end is known."""
     points = np.frombuffer("\n\n\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
-    if len(points) < 3:
+    if len(points) < 2:
         return []
     small = np.minimum(points, 0x250)
-    letter, symbol, gap = _alpha[small], _symbol[small], _gap[small]
-    a, b, c = letter[:-2], letter[1:-1], letter[2:]
-    hit = a & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
-    hit |= symbol[:-2] & b & c
-    hit |= a & symbol[1:-1] & c
-    hit |= a & b & symbol[2:]
-    hit[:-1] |= a[:-1] & symbol[1:-2] & symbol[2:-1] & letter[3:]
-    lone = (a | symbol[:-2]) & gap[1:-1] & (c | symbol[2:] | gap[2:])
-    lone[1:] &= ~letter[:-3]
-    near = np.flatnonzero(lone)  # letters apart: one soon follows the other
-    near = near[:-1][np.diff(near) <= 3]
-    hit[near] = True
-    at = np.flatnonzero(hit)
-    if not len(at):
+    letter, leet, join, alnum = _letter[small], _leet[small], _join[small], _alnum[small]
+    odd = np.zeros(len(points), bool)
+    odd[1:] = join[:-1] & letter[1:]
+    odd[:-1] |= letter[:-1] & leet[1:]
+    odd[:-2] |= letter[:-2] & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
+    single = letter | leet
+    single[1:] &= ~alnum[:-1]
+    single[:-1] &= ~alnum[1:]
+    found = []
+    for member, counted, least in ((letter | join, odd, 1), (single | _gap[small], single, 3)):
+        begin, end = _runs(member)
+        total = np.append(0, np.cumsum(counted))
+        enough = total[end] - total[begin] >= least
+        found.append((begin[enough], end[enough]))
+    begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(begin):
         return []
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    first = np.append(True, begin[1:] > end[:-1])
+    begin, end = begin[first], end[np.append(first[1:], True)]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(size + 3) - size - 3
-    out: list[tuple[int, int, int]] = []
-    for i, p in zip((owner := np.searchsorted(begins, at, side="right") - 1).tolist(), (at - begins[owner]).tolist(), strict=True):
-        if out and out[-1][0] == i and p < out[-1][2] - 30:
-            continue
-        t = texts[i]
-        lo = max(0, p - BEFORE)
-        lo = max(lo, t.rfind(" ", lo, p) + 1, t.rfind("\n", lo, p) + 1)
-        out.append((i, lo, p + BEHIND))
-    return out
+    owner = np.searchsorted(begins, begin, side="right") - 1
+    return list(zip(owner.tolist(), (begin - begins[owner]).tolist(), (end - begins[owner] + 2).tolist(), strict=True))
 
 
 def features(words: set[str]) -> set[str]:

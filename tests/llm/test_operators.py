@@ -267,3 +267,18 @@ def idiot_model():
 )
 def test_toxicity_restores_phrases_and_ends(text, words):
     assert set(words.split()) <= toxicity.Restorer(idiot_model()).words([text])[0]
+
+
+@pytest.mark.parametrize("alphabet", ["ab 1.", "aaab  .-_*!1$²é", "ab1²日€ \n(", "a .x!"])
+def test_toxicity_stretches_hold_every_token(alphabet):
+    rng = np.random.default_rng(6)
+    some = ["".join(rng.choice(list(alphabet), rng.integers(0, 60))) for _ in range(3000)]
+    got = [[] for _ in some]
+    for i, begin, end in toxicity.suspects(some):
+        got[i] += toxicity.tokens(some[i], begin, end)
+    assert got == [list(toxicity.tokens(t)) for t in some]
+
+
+@pytest.mark.parametrize("text", ["i" + "d" * 500 + "iot", "1x " + "i" * 45 + "d1ot", "plain-" * 30 + "1diot", "s  t  u  p  i  d  " * 10 + "i  d  i  o  t", "9" * 50_000 + "@" + "a" * 50_000 + " 1diot"])
+def test_toxicity_tokens_of_any_length(text):
+    assert "idiot" in toxicity.Restorer(idiot_model()).words([text])[0]
