@@ -24,7 +24,7 @@ from .common import table, text_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "key")
-#: Score of a confirmed span without context; what a context word within WINDOW characters before adds; least score of the further kinds.
+#: Score of a confirmed span without context; what a context word within WINDOW characters before or behind adds (words against it count before only); least score of the further kinds.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "key": 0.6}
 CONTEXT = {
     "email": ("mail", "contact"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "fax", "mobile"),
@@ -39,9 +39,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+#: As far as an IBAN may go; where it ends, ``ibans`` decides.
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+))")
+WORD_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+#: Characters of an IBAN, by country.
+IBAN_SIZE = {c: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT "
+    "26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC").split()) for c in codes.split(",")}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-KEY = re.compile(r"(?i)(?<![a-z])(?:api_key|token|secret|password)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+-]{16,128})(?![A-Za-z0-9_/+-])")
+KEY = re.compile(r"(?i)(?<![a-z])(?:api_key|token|secret|password)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+-]{16,}+)")
 NOT_DIGITS = {i: None for i in range(128) if not 48 <= i < 58}
 
 
@@ -75,6 +81,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of the ends of words that an IBAN may have, its country's length is tried
+    first, then the longest."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if (start := m.start()) < done:
+            continue
+        ends = [(len(text[start : w.end()].replace(" ", "")), w.end()) for w in WORD_END.finditer(text, start, m.end(1) + 1) if w.end() <= m.end(1)]
+        size = IBAN_SIZE.get(text[start : start + 2])
+        for n, end in sorted(ends, key=lambda x: (x[0] != size, -x[0])):
+            if n >= 15 and mod97(text[start:end].replace(" ", "")):
+                done = end
+                yield start, end
+                break
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that passed their check."""
     if "@" in text:
@@ -90,9 +112,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= len(m[0].translate(NOT_DIGITS)) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", m.start(), m.end()
@@ -105,8 +126,8 @@ def find(text: str) -> list[Span]:
     """All spans, by start, then kind in the order of KINDS."""
     spans = []
     for kind, start, end in proposed(text):
-        near = text[max(0, start - WINDOW) : start].lower()
-        score = PRIOR[kind] + RAISE * any(w in near for w in CONTEXT[kind]) - LOWER * any(w in near for w in AGAINST)
+        near, behind = text[max(0, start - WINDOW) : start].lower(), text[end : end + WINDOW].lower()
+        score = PRIOR[kind] + RAISE * any(w in near or w in behind for w in CONTEXT[kind]) - LOWER * any(w in near for w in AGAINST)
         if kind in BASE or score >= THRESHOLD:
             spans.append(Span(kind, start, end, round(min(1.0, max(0.0, score)), 4)))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))

@@ -282,3 +282,16 @@ def test_toxicity_stretches_hold_every_token(alphabet):
 @pytest.mark.parametrize("text", ["i" + "d" * 500 + "iot", "1x " + "i" * 45 + "d1ot", "plain-" * 30 + "1diot", "s  t  u  p  i  d  " * 10 + "i  d  i  o  t", "9" * 50_000 + "@" + "a" * 50_000 + " 1diot"])
 def test_toxicity_tokens_of_any_length(text):
     assert "idiot" in toxicity.Restorer(idiot_model()).words([text])[0]
+
+
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("api_key = " + "a1" * 65, "key", "a1" * 65), ("token: " + "Z9" * 5000 + " end", "key", "Z9" * 5000),
+        *[(f"PAY TO {x}{tail}", "iban", x) for x in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "CH93 0076 2011 6238 5295 7") for tail in ("", ".", " AND MORE", " 2024", " BY THE END OF MAY 2024 OR LATER", " soon")],
+        ("123-45-6789 is my SSN", "ssn", "123-45-6789"), ("078-05-1120 (social security number)", "ssn", "078-05-1120"), ("my SSN 123-45-6789 for the test order", "ssn", "123-45-6789"),
+    ],
+)
+def test_pii_spans_are_whole(text, kind, value):
+    assert [text[s.start : s.end] for s in pii.find(text) if s.kind == kind] == [value]
+    assert value not in pii.redact(text, pii.find(text))
