@@ -208,7 +208,7 @@ def read_back(medium: bytes, kind: str) -> bytes:
     if kind == "audio/wav":
         return medium[44 : 44 + int.from_bytes(medium[40:44], "little")]
     if kind == "image/x-portable-graymap":
-        return medium[medium.index(b"255\n") + 4 :]
+        return medium[medium.index(b"\n", medium.index(b"\n", 3) + 1) + 1 :]  # behind the third line
     if kind == "image/bmp":
         return medium[int.from_bytes(medium[10:14], "little") :]
     if kind == "image/png":

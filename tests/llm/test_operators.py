@@ -295,3 +295,11 @@ def test_toxicity_tokens_of_any_length(text):
 def test_pii_spans_are_whole(text, kind, value):
     assert [text[s.start : s.end] for s in pii.find(text) if s.kind == kind] == [value]
     assert value not in pii.redact(text, pii.find(text))
+
+
+@pytest.mark.parametrize("rows", [9, 255, 6255, 15255])
+def test_media_pgm_of_any_size(rows):
+    payload = b"255\n" + b"\xff" * (rows * 64 - 4)
+    stored = media.store(payload, "image/x-portable-graymap")
+    assert media.sniff(stored) == [media.Medium("image/x-portable-graymap", 0, len(stored))]
+    assert media.read_back(stored, "image/x-portable-graymap") == payload
