@@ -306,9 +306,19 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one document of each group of near copies, the one with the smallest id."""
-    keep = cluster(docs, words).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """docs with one document of each group of near copies, the one with the smallest
+    id; of rows with the same id and text one stays. Rows without an id are compared
+    like others, and come after all ids; they leave without one."""
+    nameless, columns, top = docs.where("doc_id is null"), docs.columns, None
+    if not nameless.isEmpty():
+        top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
+        nameless = stored(nameless.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top + 1)), "nameless")
+        docs = docs.where("doc_id is not null").union(nameless)
+    keep = stored(cluster(docs, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.expr("doc_id = component_id")).alias("first")).where("first"), "keep")
+    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi").select(columns)
+    if not keep.where("rows > 1").isEmpty():
+        kept = kept.union(docs.join(keep.where("rows > 1"), "doc_id", "left_semi").select(columns).dropDuplicates(["doc_id", "text"]))
+    return kept if top is None else kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,3 +303,13 @@ def test_media_pgm_of_any_size(rows):
     stored = media.store(payload, "image/x-portable-graymap")
     assert media.sniff(stored) == [media.Medium("image/x-portable-graymap", 0, len(stored))]
     assert media.read_back(stored, "image/x-portable-graymap") == payload
+
+
+def test_neardup_rows_without_an_id_and_repeats(spark, odd):
+    one, two = "one two three four five six seven eight", "another text of its own with no copy"
+    given = [(3, one), (3, one), (5, one), (None, one), (None, two), (None, two), (None, None), (None, ""), (9, "nine"), (9, one), (9, one)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA)
+    out = neardup.deduplicated(df)
+    assert out.columns == df.columns and out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(3, one), (None, two), (None, None), (None, ""), (9, "nine"), (9, one)]))
+    assert neardup.deduplicated(odd).count() == len(set(ODD))
