@@ -9,8 +9,8 @@ scored: words and their beginnings carry the share of toxic documents among the
 training documents that hold them, shrunk towards the base rate; a document's
 score is that of at least one of its words being meant (noisy or).
 
-The trigram counts and the counts of words cover all documents. Labels are
-learnt from at most ``LABELLED`` training rows. What reaches the driver is bounded:
+The trigram counts cover all documents, the counts of words at most ``LABELLED``
+labelled ones, from which labels are learnt. What reaches the driver is bounded:
 27**3 trigram counts and the ``FEATURES`` strongest features.
 
 Null and empty texts have no words and the base score; repeated rows count
