@@ -8,15 +8,18 @@ hash functions, at the cost of about one. BANDS of ROWS coordinates propose
 candidates (a pair at similarity 0.8 is missed with probability below 2e-7).
 
 Equal sets are one class from the start, led by their smallest id, so copies cost
-one row each. In each bucket all members are compared with its smallest, then
-what is left apart: two members of a bucket in different components that were not
-compared yet. Buckets with more than ``SMALL`` such members are not expanded into
-pairs; their members go through an exact prefix filter (rarest shingles first),
-which proposes every pair at or above the threshold.
-
-Each set also has a parity map of BITS bits: a bit tells whether an odd number of
-its shingles hash there. Two maps differ in at most as many bits as the sets differ
-in shingles, so pairs whose maps differ in too many cannot be linked and are dropped
+one row each. In each bucket all members are compared with its smallest; links are
+contracted to components. What shares a bucket and is still in different components
+is then looked at again, in two ways. While that pays, each member outside its
+bucket's largest component is compared with the members of other components whose
+parity maps are nearest (as in Boruvka's algorithm, components at least halve where
+those are linked). At last every pair of different components that parity maps don't
+rule out is compared. Buckets are dealt out in blocks of members; maps meet there as
+arrays, and only the pairs to compare become rows.
+
+Each set has a parity map of BITS bits: a bit tells whether an odd number of its
+shingles hash there. Two maps differ in at most as many bits as the sets differ in
+shingles, so pairs whose maps differ in too many cannot be linked and are dropped
 without their texts. Every other pair is compared on full sets.
 
 Links become components by alternating large and small stars, each round written
@@ -45,8 +48,11 @@ BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 THRESHOLD = 80  # per cent
 HELD = 2_000_000  # shingles of sets that a task keeps while it compares
-SMALL = 24
 BITS = 512
+#: Members of a bucket, and pairs of one document, that are dealt to a task together (about).
+BLOCK, TOGETHER = 512, 256
+#: Candidates of a member in a round of nearest ones; the share of them that must be links for another such round.
+NEAREST, PAYS = 2, 0.1
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -160,19 +166,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b), a < b, whose full sets are similar. texts: doc_id, text."""
-    left = pairs.where("a < b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose full sets are similar. texts: doc_id, text. A document
+    that stands as a in many pairs is sent once for each block of them."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.expr(f"cast((n + {TOGETHER - 1}) div {TOGETHER} as int)").alias("blocks"))
+    block = F.expr("cast(pmod(xxhash64(b), blocks) as int)").alias("block")
+    left = hubs.select("a", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    right = pairs.join(hubs, "a").select("a", block, "b").join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    both = left.select("a", "block", F.lit(None).cast("long").alias("b"), "text").union(right.select("a", "block", "b", "text"))
 
     def run(batches):
         sets = Shingler(words)
         held: dict[int, np.ndarray] = {}
-        room = HELD
+        room, hub, mine = HELD, None, None
 
         def of(i, t):
             nonlocal room
             if i not in held:
-                s = sets(t.as_py())
+                s = sets(t)
                 if room < len(s):
                     held.clear()
                     room = HELD
@@ -180,12 +190,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 room -= len(s)
             return held[i]
 
-        for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = [similar(of(i, t), of(k, u)) for i, k, t, u in zip(a, c, b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            found = []
+            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b is None:
+                    hub, mine = a, of(a, t.as_py())
+                elif a == hub and similar(mine, of(b, t.as_py())):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,28 +221,88 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def prefix_pairs(texts: DataFrame, label: DataFrame, words: int) -> DataFrame:
-    """All pairs (a, b) of these documents that may reach the threshold, of different
-    components, one at least minor. label: doc_id, component, minor, parity. Two sets that do
-    share one of their first n - ceil(0.8 n) + 1 shingles, by any common order; by
-    rising frequency few others do."""
+def close(n: np.ndarray, parity: np.ndarray, m: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some maps and each of others: whether the two may be linked, and
+    how many bits they differ in. n, m: sizes of sets, -1: nothing is known."""
+    differ = np.bitwise_count(parity[:, None, :] ^ others[None, :, :]).sum(2, dtype=np.int64)
+    n, m = n[:, None], m[None, :]
+    both = np.minimum(np.minimum(n, m), (n + m - differ) // 2)
+    return (n < 0) | (m < 0) | (100 * both >= THRESHOLD * (n + m - both)), differ
+
+
+def across(rest: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket and different components that may be linked; for
+    ``nearest`` only each member's NEAREST in each block. A member outside the
+    largest component meets its own block and visits the others.
+
+    rest: key, doc_id, component, lead, size and largest (of the bucket), n, parity."""
+    minor = (F.col("component") != F.col("largest")).alias("minor")
+    n = F.when(F.col("parity").isNotNull(), F.col("n")).otherwise(F.lit(-1)).cast("long").alias("n")
+    parity = F.coalesce("parity", F.array_repeat(F.lit(0).cast("long"), BITS // 64)).alias("parity")
+    rest = rest.withColumn("blocks", F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    columns = ["doc_id", "component", "lead", minor, n, parity]
+    own = rest.select("key", "block", F.lit(0).alias("visits"), *columns)
+    to = F.explode(F.expr("array_except(sequence(0, blocks - 1), array(block))")).alias("block")
+    visiting = rest.where("blocks > 1 and component <> largest").select("key", to, F.lit(1).alias("visits"), *columns)
 
     def run(batches):
-        sets = Shingler(words)
+        here, held = None, None
+
+        def pairs(x: tuple, visits: bool):
+            ids, component, lead, is_minor, n, parity = x
+            o_ids, o_component, _, o_minor, o_n, o_parity = held
+            for at in range(0, len(ids), 128):
+                part = slice(at, at + 128)
+                may, differ = close(n[part], parity[part], o_n, o_parity)
+                may &= component[part, None] != o_component[None, :]
+                # With the bucket's lead all were compared; of two members outside the largest component the smaller asks.
+                may &= (ids[part, None] != lead[part, None]) & (o_ids[None, :] != lead[part, None])
+                if not nearest:
+                    may &= ~o_minor[None, :] | (ids[part, None] < o_ids[None, :])
+                elif may.shape[1] > NEAREST:
+                    rank = np.where(may, differ, 1 << 40)
+                    worst = np.partition(rank, NEAREST - 1, axis=1)[:, NEAREST - 1 : NEAREST]
+                    may &= rank <= worst
+                    may &= np.cumsum(may, axis=1) <= NEAREST
+                i, k = np.nonzero(may)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][i]), pa.array(o_ids[k])], ["a", "b"])
+
+        def part_of(b, lo, hi):
+            column = [np.asarray(b.column(j)[lo:hi].to_numpy(zero_copy_only=False)) for j in (3, 4, 5, 6, 7)]
+            parity = b.column(8)[lo:hi].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(hi - lo, -1)
+            return (*column, parity)
+
+        def begun():
+            """Pairs inside a block, once it is complete."""
+            minors = held[3]
+            yield from pairs(tuple(x[minors] for x in held), False)
+
+        waiting = False
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = sets(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), np.int64))], ["doc_id", "item", "n"])
-
-    items = stored(texts.mapInArrow(run, "doc_id long, item long, n long"), "items")
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = items.join(often, "item").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"), F.count(F.lit(1)).alias("shared"))
-    # Shingles that only one document has come first in the order, and take up as much of the prefix.
-    room = F.col("n") - F.expr(f"(n * {THRESHOLD} + 99) div 100") + 1 - (F.col("n") - F.col("shared"))
-    first = ranked.select("doc_id", "n", F.explode(F.slice("order", 1, F.greatest(room.cast("int"), F.lit(0)))).alias("x"))
-    first = stored(first.join(label, "doc_id").select("doc_id", "n", F.col("x.item").alias("item"), "component", "parity", "minor"), "prefixes")
-    a, b = first.where("minor").drop("minor").toDF("a", "n_a", "item", "ca", "parity_a"), first.drop("minor").toDF("b", "n_b", "item", "cb", "parity_b")
-    return a.join(b, "item").where(f"ca <> cb and 100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)").where(within()).select("a", "b").distinct()
+            key, block, visits = (b.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 2))
+            edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(visits) != 0)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                x = part_of(b, lo, hi)
+                if visits[lo]:
+                    if here == (key[lo], block[lo]):
+                        if waiting:
+                            yield from begun()
+                            waiting = False
+                        yield from pairs(x, True)
+                    continue
+                if here == (key[lo], block[lo]):
+                    held = tuple(np.concatenate(y) for y in zip(held, x, strict=True))
+                else:
+                    if waiting:
+                        yield from begun()
+                    here, held, waiting = (key[lo], block[lo]), x, True
+        if waiting:
+            yield from begun()
+
+    return own.union(visiting).repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(run, "a long, b long").distinct()
 
 
 #: Spark's Bloom filter of a join's smaller side, at every size of input; it never has more than 8 MB.
@@ -252,57 +326,57 @@ def bloom_filters(spark: SparkSession):
 
 
 def still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, doc_id, component, n of members of buckets that hold several components."""
-    where = members.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = where.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
-    return stored(where.join(apart, "key"), "apart")
+    """Members of buckets that hold several components, with their component, and their bucket's size and largest component."""
+    where = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    where = stored(where, "placed")
+    sizes = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("key").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("x"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return stored(where.join(mixed.select("key", "size", F.col("x.component").alias("largest")), "key"), "apart")
 
 
 def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    docs = docs.select("doc_id", "text")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     sketched = stored(sketches(docs, words), "sketches")
     classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    leading = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
+    leaders = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
+    leading = leaders.select("doc_id", F.explode("bands").alias("key"))
     buckets = leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(leading.join(buckets, "key").select("key", "doc_id", "lead", "size"), "members")
     tried = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     ends = stored(tried.select("a").union(tried.select("b")).distinct().select(F.col("a").alias("doc_id"), F.lit(1).alias("chosen")), "ends")
-    spark, chosen = docs.sparkSession, ends.where("chosen = 1").select("doc_id")
+    chosen = ends.where("chosen = 1").select("doc_id")
     known = F.when(F.min("set_hash") == F.max("set_hash"), F.min("parity")).alias("parity")
     with bloom_filters(spark):
         texts = stored(docs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
         maps = stored(sketched.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n_shingles").alias("n"), known), "maps")
-        links = stored(confirm(stored(may_link(tried, maps), "close"), texts, words), "links")
-    found = components(links)
-    rest = still_apart(members.where("size > 2").select("key", "doc_id"), found)
-
-    def beyond(pairs: DataFrame) -> DataFrame:
-        """Pairs put in order, less those compared before."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         with bloom_filters(spark):
-            return stored(confirm(pairs, texts, words), "links")
-
-    few, many = rest.where(f"n <= {SMALL}"), rest.where(f"n > {SMALL}")
-    b = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    pairs = few.withColumnRenamed("doc_id", "a").join(b, "key").where("a < b and component <> cb").select("a", "b").distinct()
-    pairs = may_link(pairs, maps)
-    if not many.isEmpty():
-        sizes = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
-        label = many.join(largest, "key").groupBy("doc_id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("minor"))
-        label = stored(label.join(maps.select("doc_id", "parity"), "doc_id"), "labels")
-        pairs = pairs.union(prefix_pairs(texts.join(label.select("doc_id"), "doc_id", "left_semi"), label, words))
-    pairs = beyond(pairs)
-    if not pairs.isEmpty():
-        found = components(links.union(linked(pairs)))
+            return stored(confirm(stored(pairs, "pairs"), texts, words), "links")
+
+    links = linked(may_link(tried, maps))
+    found = components(links)
+    members = members.where("size > 2").select("key", "doc_id", "lead").join(maps, "doc_id")
+    nearest = True
+    while True:
+        candidates = across(still_apart(members, found), nearest)
+        ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        untried = stored(ordered.join(tried, ["a", "b"], "left_anti"), "untried")
+        more = linked(untried)
+        n, m = untried.count(), more.count()
+        if m:
+            links = links.union(more)
+            found = components(links)
+        if not nearest:
+            break
+        nearest, tried = m > PAYS * n, tried.union(untried)
 
     whole = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return sketched.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left").select("doc_id", "n_shingles", component)
+    # An empty set has no class; under a key of its own it does not meet the others in one task.
+    own = F.coalesce("set_hash", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")).alias("set_hash")
+    return sketched.select("doc_id", "n_shingles", own).join(whole, "set_hash", "left").select("doc_id", "n_shingles", component)
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
