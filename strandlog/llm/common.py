@@ -51,18 +51,34 @@ def text_of(col="text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column (of any case) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def smallest_hashes(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The ``most`` rows (doc_id and others) with the smallest hash of their id. A
+    threshold lets through little more than that many, so that no partition sorts or
+    sends all it has; should it let through fewer, which chance all but excludes, it is raised."""
+    order = F.xxhash64("doc_id", F.lit(seed))
+    n = rows.count()
+    share = (most + 6 * most**0.5 + 10) / max(n, 1)
+    while True:
+        some = rows if share >= 1 else rows.where(order < int(share * 2**64) - 2**63)
+        if share >= 1 or some.count() >= most:
+            return some.orderBy(order, *rows.columns).limit(most)
+        share *= 2
+
+
 def label_sample(labels: DataFrame, column: str, train, most: int) -> dict[int, int]:
     """At most ``most`` labelled rows that satisfy ``train``, those with the
     smallest hash of their id: {doc_id: label}. Rows without an id or a label are
     left out; of several labels for one id the largest counts."""
-    rows = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & train)
-        .select("doc_id", F.col(column).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
-        .limit(most)
-        .collect()
-    )
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & train).select("doc_id", F.col(column).cast("int").alias("y"))
     found: dict[int, int] = {}
-    for r in rows:
+    for r in smallest_hashes(rows, most).collect():
         found[r.doc_id] = max(r.y, found.get(r.doc_id, 0))
     return found

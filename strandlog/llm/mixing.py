@@ -13,7 +13,8 @@ at which a leaf's prefix ends is looked for inside one such range. So no leaf,
 however large, is sorted in one task, and texts are never shuffled.
 
 Null domain, language or source is the leaf ''; null and empty texts have no
-tokens. Rows without an id hash as ''; repeated rows are all taken or none.
+tokens. Rows without an id hash as ''; repeated rows are all taken or none. Further
+columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,11 +57,13 @@ PRODUCTION = Plan()
 
 
 def leaves_of(docs: DataFrame, plan: Plan) -> DataFrame:
-    """docs with d_domain, d_lang, d_source and d_tokens (a token for each four bytes begun)."""
-    return docs.withColumns({
-        "d_domain": F.expr(plan.domain_sql()), "d_lang": F.coalesce("lang", F.lit("")), "d_source": F.coalesce("source", F.lit("")),
-        "d_tokens": F.expr("coalesce((octet_length(text) + 3) div 4, 0L)"),
-    })
+    """row (all of docs' columns, so that no name can clash), doc_id, d_domain, d_lang,
+    d_source and d_tokens (a token for each four bytes begun)."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id",
+        F.expr(plan.domain_sql()).alias("d_domain"), F.coalesce("lang", F.lit("")).alias("d_lang"), F.coalesce("source", F.lit("")).alias("d_source"),
+        F.expr("coalesce((octet_length(text) + 3) div 4, 0L)").alias("d_tokens"),
+    )
 
 
 def shared_out(nodes: DataFrame, level: str, above: list[str], plan: Plan) -> DataFrame:
@@ -115,7 +118,7 @@ def with_plan(leaves: DataFrame, plans: DataFrame, plan: Plan) -> DataFrame:
 
 
 def chosen(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
-    """docs that get at least one copy, with d_domain, d_lang, d_source, d_tokens and d_copies."""
+    """row, doc_id, d_domain, d_lang, d_source, d_tokens and d_copies of docs that get at least one copy."""
     leaves = leaves_of(docs, plan)
     narrow = leaves.select("doc_id", *(f"d_{c}" for c in LEVELS), "d_tokens")
     plans = stored(budgets(narrow, plan), "budgets")
@@ -136,7 +139,7 @@ def chosen(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
 
 def mixed(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
     """docs as often as the mixture takes them."""
-    return chosen(docs, plan).withColumn("d_copy", F.explode(F.sequence(F.lit(1), F.col("d_copies")))).select(docs.columns)
+    return chosen(docs, plan).select("row", F.explode(F.sequence(F.lit(1), F.col("d_copies")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

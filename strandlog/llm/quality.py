@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, label_sample, table, text_of
+from .common import id_crc, label_sample, smallest_hashes, table, text_of
 
 SAMPLE, CUT, SEED = 20_000, 0.3, 7
 HIDDEN, ROUNDS, RATE, DECAY = 16, 400, 0.02, 1e-4
@@ -136,8 +136,7 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame, learnable) -> tuple[Network, float] | None:
     positives = {i for i, y in label_sample(labels, "quality", learnable & (F.col("quality") == 1), SAMPLE).items() if y == 1}
-    others = docs.where(F.col("doc_id").isNotNull() & learnable).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE).collect()
-    others = {r.doc_id for r in others}
+    others = {r.doc_id for r in smallest_hashes(docs.where(F.col("doc_id").isNotNull() & learnable).select("doc_id"), SAMPLE, SEED).collect()}
     found = features_of(docs, positives | others)
     p, u = ([found[i] for i in sorted(ids) if i in found] for ids in (positives, others))
     if not p or not u:

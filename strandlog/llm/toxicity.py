@@ -10,31 +10,37 @@ training documents that hold them, shrunk towards the base rate; a document's
 score is that of at least one of its words being meant (noisy or).
 
 The trigram counts cover all documents, the counts of words at most ``LABELLED``
-labelled ones, from which labels are learnt. What reaches the driver is bounded:
-27**3 trigram counts and the ``FEATURES`` strongest features.
+labelled ones, from which labels are learnt. A feature is kept if a document that
+holds it and nothing else would be rejected, if its counts are surer than the number
+of features looked at explains, and if it is needed beside better ones. What reaches
+the driver is bounded: 27**3 trigram counts, and the kept features of at most
+``LABELLED`` documents.
 
 Null and empty texts have no words and the base score; repeated rows count
 repeatedly; rows without an id are scored but not learnt from; without labels all
-scores are 0. ``reject`` keeps all columns, ``score`` none but the id.
+scores are 0. ``apply`` keeps all columns, whatever their names, and the caller
+names the score's.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_crc, label_sample, table, text_of
+from .common import id_crc, label_sample, stored, table, text_of, unused
 
-#: Labelled rows learnt from, at most; features kept, at most; documents a feature needs; pseudo-documents at the base rate; least share for a feature.
-LABELLED, FEATURES, LEAST, SHRINK, SHARE = 60_000, 20_000, 4, 2.0, 0.8
+#: Labelled rows learnt from, at most; documents a feature needs; pseudo-documents at the base rate; features a task counts before it passes them on.
+LABELLED, LEAST, SHRINK, COUNTED = 60_000, 4, 2.0, 100_000
 #: Nats by which a feature's likelihood ratio must exceed the logarithm of the number of features tried;
 #: documents that it alone explains.
 SURE, NEW = 2.0, 2
@@ -54,7 +60,8 @@ TOKEN = re.compile(rf"{SPACED.pattern}|(?:(?<![{SYMBOL}])[{SYMBOL}]++|(?<!{LETTE
 ODD = re.compile(rf"({LETTER})\1\1|{LETTER}[{SYMBOL}.\-_]+{LETTER}|[{SYMBOL}]{LETTER}{{2}}|{LETTER}{{2}}[{SYMBOL}]")
 WORD = re.compile(LETTER + "+")
 GAP = re.compile(r"[ .\-_*]")
-BEGINNINGS, LONGEST = (4, 5, 6), 40
+#: Letters of beginnings; letters up to which a word stands for itself as a feature (longer ones: by a digest).
+BEGINNINGS, PLAIN = (4, 5, 6), 40
 #: Longest token that is remembered.
 KNOWN = 200
 
@@ -162,7 +169,7 @@ def readings(token: str, lm: np.ndarray) -> set[str]:
 class Restorer:
     """Restores texts; remembers tokens, within a bound."""
 
-    def __init__(self, lm: np.ndarray, most: int = 100_000):
+    def __init__(self, lm: np.ndarray, most: int = 30_000):
         self.lm, self.most, self.known = lm, most, {}
 
     def token(self, token: str) -> set[str]:
@@ -236,7 +243,11 @@ def suspects(texts: list[str]) -> list[tuple[int, int, int]]:
 
 def features(words: set[str]) -> set[str]:
     """Words, and the beginnings of words, marked by a dash."""
-    return {w for w in words if len(w) <= LONGEST} | {w[:k] + "-" for w in words for k in BEGINNINGS if len(w) >= k}
+    return {named(w) for w in words} | {w[:k] + "-" for w in words for k in BEGINNINGS if len(w) >= k}
+
+
+def named(word: str) -> str:
+    return word if len(word) <= PLAIN else word[:PLAIN] + hashlib.sha256(word.encode("utf-8", "replace")).hexdigest()
 
 
 def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[dict[str, float], float]:
@@ -256,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
                 for f in features(words):
                     c = counts.setdefault(f, [0, 0])
                     c[y] += 1
-            if len(counts) > 500_000:
+            if len(counts) > COUNTED:
                 yield batch(counts)
                 counts = {}
         yield batch(counts)
@@ -269,23 +280,20 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
         return {}, base
     n = F.col("n0") + F.col("n1")
     gain = F.col("n1") * F.log(F.col("n1") / (n * base)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (n * (1 - base)))).otherwise(0.0)
-    tried = Observation()
-    rows = (
+    counted = (
         docs.select("doc_id", text_of().alias("text"))
         .mapInArrow(run, "f string, n0 long, n1 long")
         .groupBy("f")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .observe(tried, F.count(F.lit(1)).alias("n"))
-        .where(F.col("n1") >= LEAST)
+        .where(n >= LEAST)
         .withColumn("share", (F.col("n1") + F.lit(SHRINK * base)) / (n + F.lit(SHRINK)))
-        .withColumn("gain", gain)
-        .where((F.col("share") >= SHARE) & (F.col("gain") > SURE))
-        .orderBy(F.desc("gain"), "f")
-        .limit(FEATURES)
-        .collect()
     )
-    least = math.log(max(1, tried.get["n"])) + SURE
-    shares = {r.f: r.share for r in rows if r.gain >= least}
+    counted = stored(counted, "features")
+    # Features in too few documents to be kept are not counted as looked at.
+    least = math.log(max(1, counted.count())) + SURE
+    enough = 1 - (1 - CUT) / (1 - base) if base < CUT else base
+    rows = counted.where((F.col("n1") >= LEAST) & (F.col("share") >= enough)).withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "f").collect()
+    shares = {r.f: r.share for r in rows}
     order = list(shares)  # best first
     number = {f: i for i, f in enumerate(order)}
 
@@ -297,17 +305,36 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
             yield pa.RecordBatch.from_arrays([pa.array([sorted(number[f] for f in features(w) if f in number) for w in restorer.words(mine)], pa.list_(pa.int32()))], ["held"])
 
     # Features of at most LABELLED documents. A feature that explains fewer than NEW of the toxic ones that better ones leave unexplained is left out.
-    left = [set(r.held) for r in docs.select("doc_id", text_of().alias("text")).mapInArrow(held, "held array<int>").where(F.size("held") > 0).collect()]
+    left = [r.held for r in docs.select("doc_id", text_of().alias("text")).mapInArrow(held, "held array<int>").where(F.size("held") > 0).collect()]
     sent.unpersist()
-    kept: dict[str, float] = {}
-    weight = [math.log(p / (1 - p)) for p in shares.values()]
-    while left:
-        i, n1 = max(Counter(i for x in left for i in x).items(), key=lambda kv: (kv[1] * weight[kv[0]], -kv[0]))
-        if n1 < NEW:
-            break
-        kept[order[i]] = shares[order[i]]
-        left = [x for x in left if i not in x]
-    return kept, base
+    return {order[i]: shares[order[i]] for i in cover(left, [math.log(p / (1 - p)) for p in shares.values()])}, base
+
+
+def cover(rows: list[list[int]], weight: list[float]) -> list[int]:
+    """Items chosen greedily by the weight of the rows that they are the first to
+    explain; none that explains fewer than NEW. A row is looked at twice."""
+    holding: dict[int, list[int]] = {}
+    for k, row in enumerate(rows):
+        for i in row:
+            holding.setdefault(i, []).append(k)
+    n = {i: len(ks) for i, ks in holding.items()}
+    heap = [(-c * weight[i], i, c) for i, c in n.items()]
+    heapq.heapify(heap)
+    done, chosen = set(), []
+    while heap:
+        _, i, c = heapq.heappop(heap)
+        if n[i] < NEW:
+            continue
+        if c != n[i]:  # others have explained some of its rows since
+            heapq.heappush(heap, (-n[i] * weight[i], i, n[i]))
+            continue
+        chosen.append(i)
+        for k in holding[i]:
+            if k not in done:
+                done.add(k)
+                for j in rows[k]:
+                    n[j] -= 1
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, train):
@@ -324,13 +351,14 @@ def judge(words: set[str], shares: dict[str, float], heads: set[str], base: floa
     get = shares.get
     for w in words:
         if w[:4] in heads:
-            doubt *= 1 - max(get(w, 0.0), *(get(w[:k] + "-", 0.0) for k in BEGINNINGS if len(w) >= k), 0.0)
+            doubt *= 1 - max(get(named(w), 0.0), *(get(w[:k] + "-", 0.0) for k in BEGINNINGS if len(w) >= k), 0.0)
     return 1 - doubt
 
 
-def apply(docs: DataFrame, model) -> DataFrame:
-    """docs with column score (one of that name is replaced)."""
-    docs = docs.drop("score")
+def apply(docs: DataFrame, model, score: str = "score") -> DataFrame:
+    """docs with a further column of the name ``score``, which none of theirs may have."""
+    if unused(score, docs.columns) != score:
+        raise ValueError(f"a column is named {score} already")
     at = docs.columns.index("text")
 
     def run(batches):
@@ -339,10 +367,9 @@ def apply(docs: DataFrame, model) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             scores = [judge(words, shares, heads, base) for k in range(0, len(texts), 500) for words in restorer.words(texts[k : k + 500])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
-
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, score])
 
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def held_out():

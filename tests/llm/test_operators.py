@@ -128,7 +128,10 @@ def test_toxicity(spark, odd, empty):
     model = toxicity.fit(docs, labels, ~toxicity.held_out())
     scored = {x.doc_id: x.score for x in toxicity.apply(docs, model).collect()}
     assert all((scored[i] >= toxicity.CUT) == (i % 10 == 0) for i in range(600))
-    assert toxicity.apply(odd, model).count() == len(ODD)
+    out = toxicity.apply(odd, model, "toxicity").collect()
+    assert len(out) == len(ODD) and {r.score for r in out} == {"clash"} and all(r.toxicity < 0.5 for r in out)
+    with pytest.raises(ValueError):
+        toxicity.apply(odd, model)
     assert toxicity.apply(empty, toxicity.fit(empty, labels.limit(0), ~toxicity.held_out())).count() == 0
 
 
@@ -211,8 +214,13 @@ def test_topk_odd_vectors(spark):
 
 
 def test_mixing_and_chat_odd(spark, odd, empty):
-    got = mixing.chosen(odd.drop("d_tokens")).groupBy("doc_id").count().collect()
-    assert {r[0] for r in got} <= {r[0] for r in ODD}
+    clash = odd.withColumns({"D_Tokens": F.lit(-7), "d_hash": F.lit("h"), "d_copies": F.lit(None).cast("int"), "row": F.lit("r"), "domain": F.lit("d")}).drop("d_tokens")
+    every = mixing.Plan(per_cent=100, epochs=1)
+    got = mixing.mixed(clash, every)
+    assert got.columns == clash.columns
+    assert rows(got.toPandas()) == rows(clash.where("length(text) > 0").toPandas())
+    twice = mixing.mixed(clash, mixing.Plan(per_cent=200, epochs=2))
+    assert rows(twice.distinct().toPandas()) == rows(clash.where("length(text) > 0").distinct().toPandas()) and twice.count() == 2 * got.count()
     assert mixing.mixed(empty).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and mixing.mixed(empty).count() == 0
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (2, 0, None, None), (None, 0, "user", "x"), (3, None, "user", "q")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
@@ -221,6 +229,24 @@ def test_mixing_and_chat_odd(spark, odd, empty):
     assert len(out) == 6 and chat.preference(chat.paired(df.limit(0))).count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    """Nothing but copies and rows without tokens goes; clashing columns keep their values."""
+    import corpus_pipeline
+
+    docs = odd
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    got = sorted((r.asDict() for r in docs.collect()), key=str)
+    assert len(got) == len(set(ODD)) and {r["score"] for r in got} == {r["d_tokens"] for r in got} == {"clash"}
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] not in (7, None)} == {r[0]: r[1] for r in ODD if r[0] not in (7, None)}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == len(got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
