@@ -5,6 +5,12 @@ their target weights, and what is left is tokenised.
 Stages take (spark, docs, sf_dir) and return a DataFrame; each result is written
 as Parquet in the shared folder and read again as the next stage's docs. All but
 the last return the columns of documents, with n_chars kept in step with the text.
+
+Further columns pass through the first four stages as they are, whatever their names.
+Null and empty texts are never toxic or copies, hold no personal data, have no tokens
+and so no leaf of the mixture unless documents with tokens share it; rows without an id
+are treated like others and leave without one; of repeated rows near_dedup keeps one.
+Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -13,12 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.llm import bpe, mixing, neardup, pii, toxicity
-from strandlog.llm.common import stored, table
+from strandlog.llm.common import stored, table, unused
 
 
 def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    return toxicity.apply(docs, model).where(F.col("score") < toxicity.CUT).select(docs.columns)
+    score = unused("score", docs.columns)
+    return toxicity.apply(docs, model, score).where(F.col(score) < toxicity.CUT).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
