@@ -8,12 +8,18 @@ and the stretch of characters a loss counts: the texts of assistant turns in
 completions (0 to 0: none). Joined by place, a part's rows are its text, so that no conversation,
 however long, has to fit into one row.
 
+Texts are shuffled once, by conversation and chunk of turns. Everything else that
+places turns and finds the prefix is made of narrow rows: counts and lengths of
+chunks, and a digest of each turn to compare the two sides by.
+
 Turns are ordered by turn (null first), then role and text; places and offsets are
 found by counting per chunk of turns first, so that a conversation may be longer
-than a task can hold. Null roles and texts count as empty. Turns that are repeated
+than a task can hold; turns of one number are in one chunk. Null roles and texts
+count as empty. Turns that are repeated
 are repeated in the result. A conversation without a partner is all completion,
 marked by complete = false, as are pairs in which one side has no completion. Rows
 without conv_id are left out, as no pair can hold them; extra columns too.
+``examples`` puts each pair into one row, for conversations that fit into one.
 """
 
 from __future__ import annotations
@@ -35,49 +41,59 @@ def paired(conversations: DataFrame) -> DataFrame:
     )
 
 
-def running(df: DataFrame, keys: list[str], chunk: str, order: list, value, name: str) -> DataFrame:
-    """df with ``name``: the sum of ``value`` over the rows of its key before it, by
-    chunk and then order. Sums of chunks are made before anything is shuffled."""
-    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.col(chunk).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.col(chunk).alias("_chunk"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.col(chunk).eqNullSafe(F.col("_chunk"))
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(sums, same).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_chunk", "_before", *(f"_{k}" for k in keys))
-
-
 def preference(turns: DataFrame) -> DataFrame:
     """turns: pair_id, side (chosen or rejected), turn, role, text."""
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    placed = running(turns.withColumn("chunk", F.expr(f"turn div {CHUNK}")), ["pair_id", "side"], "chunk", order, F.lit(1), "place")
-    at = placed.groupBy("pair_id", "place").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("role", "text")).alias("a"), F.max(F.struct("role", "text")).alias("b"),
-        F.max(F.when(F.col("side") == "chosen", F.col("place"))).alias("c"), F.max(F.when(F.col("side") == "rejected", F.col("place"))).alias("r"),
-    )
-    differs = (F.col("n") < 2) | (F.col("a") != F.col("b"))
+    side, chunk = ["pair_id", "side"], ["pair_id", "side", "chunk"]
+    turns = turns.withColumn("chunk", F.coalesce(F.expr(f"turn div {CHUNK}"), F.lit(-(2**62))))
+    size = F.length("role") + F.length("text") + len("<||>\n<|end|>\n")
+    # Of each chunk: turns and characters before it in its conversation.
+    sums = turns.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"))
+    before = Window.partitionBy(*side).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*chunk, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"))
+    inside = Window.partitionBy(*chunk).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    dealt = turns.select(*chunk, "turn", "role", "text").withColumns({
+        "i": F.row_number().over(inside) - 1, "chars": F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    place, offset = (F.col("i") + F.col("n_before")).cast("long").alias("place"), (F.col("chars") + F.col("chars_before")).alias("offset")
+
+    digest = F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))).alias("digest")
+    narrow = dealt.join(sums, chunk).select("pair_id", "side", place, offset, (offset + size).alias("end"), digest)
+    last = lambda s: F.max(F.when(F.col("side") == s, F.col("place")))
+    at = narrow.groupBy("pair_id", "place").agg(
+        ((F.count(F.lit(1)) < 2) | (F.min("digest") != F.max("digest"))).alias("differs"), F.min("offset").alias("offset"), F.max("end").alias("end"), last("chosen").alias("c"), last("rejected").alias("r")
+    )
     prefix = at.groupBy("pair_id").agg(
-        F.coalesce(F.min(F.when(differs, F.col("place"))), F.max("place") + 1).alias("prompt_turns"), F.coalesce(F.max("c"), F.lit(-1)).alias("c"), F.coalesce(F.max("r"), F.lit(-1)).alias("r")
+        F.min(F.when(F.col("differs"), F.struct("place", "offset"))).alias("first"), F.max("place").alias("last"), F.max("end").alias("end"), F.coalesce(F.max("c"), F.lit(-1)).alias("c"), F.coalesce(F.max("r"), F.lit(-1)).alias("r")
     )
-    prefix = prefix.select(F.col("pair_id").alias("p"), "prompt_turns", (F.least("c", "r") >= F.col("prompt_turns")).alias("complete"))
-    parts = (
-        placed.join(prefix, F.col("pair_id") == F.col("p"))
-        .withColumn("part", F.when(F.col("place") >= F.col("prompt_turns"), F.col("side")).otherwise(F.lit("prompt")))
+    turns_shared = F.coalesce("first.place", F.col("last") + 1)
+    prefix = prefix.select("pair_id", turns_shared.alias("prompt_turns"), F.coalesce("first.offset", "end").alias("prompt_chars"), (F.least("c", "r") >= turns_shared).alias("complete"))
+
+    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
+    part = F.when(F.col("place") >= F.col("prompt_turns"), F.col("side")).otherwise(F.lit("prompt"))
+    laid = (
+        dealt.join(sums.join(prefix, "pair_id"), chunk)
+        .select("pair_id", "side", "role", "text", place, offset, "prompt_turns", "prompt_chars", "complete")
+        .withColumn("part", part)
         .where((F.col("part") != "prompt") | (F.col("side") == "chosen"))
-        .withColumn("head", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n")))
-        .withColumn("rendered", F.concat("head", "text", F.lit("<|end|>\n")))
-        .withColumn("chunk", F.expr(f"place div {CHUNK}"))
+        .withColumn("char_start", (F.col("offset") - F.when(F.col("part") == "prompt", 0).otherwise(F.col("prompt_chars"))).cast("long"))
     )
-    laid = running(parts, ["pair_id", "part"], "chunk", ["place"], F.length("rendered"), "char_start")
     loss = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    begin = F.col("char_start") + F.length("head")
+    begin = F.col("char_start") + F.length(head)
     return laid.select(
-        "pair_id", "part", F.col("place").cast("long").alias("place"), "role", "rendered", F.col("char_start").cast("long").alias("char_start"),
+        "pair_id", "part", "place", "role", F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"), "char_start",
         F.when(loss, begin).otherwise(0).cast("long").alias("loss_start"), F.when(loss, begin + F.length("text")).otherwise(0).cast("long").alias("loss_end"), "complete",
     )
 
 
+def examples(parts: DataFrame) -> DataFrame:
+    """A row for each pair: pair_id, prompt, chosen, rejected, the stretches
+    chosen_loss and rejected_loss that a loss counts, complete. parts: of ``preference``."""
+    turn = F.struct("place", "rendered", "loss_start", "loss_end")
+    sides = [F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", "chosen", "rejected")]
+    text = lambda p: F.array_join(F.transform(p, lambda t: t["rendered"]), "").alias(p)
+    loss = lambda p: F.transform(F.filter(p, lambda t: t["loss_end"] > t["loss_start"]), lambda t: F.struct(t["loss_start"].alias("start"), t["loss_end"].alias("end"))).alias(f"{p}_loss")
+    return parts.groupBy("pair_id").agg(*sides, F.first("complete").alias("complete")).select("pair_id", text("prompt"), text("chosen"), text("rejected"), loss("chosen"), loss("rejected"), "complete")
+
+
 def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference(paired(table(spark, sf_dir, "conversations")))
 

@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
 A rule has a keyword, a regular expression over words, a priority and a
-confidence. One Aho-Corasick pass over the lower-cased text finds the keywords;
+confidence; ``license_rules`` has them, written by hand. One Aho-Corasick pass over the lower-cased text finds the keywords;
 only rules whose keyword occurs are run. Of the detections, one that lies within
 another of higher priority (or of equal priority and greater length, or as long
 and earlier in the rules) is suppressed. The three base phrases are found at all
@@ -14,8 +14,10 @@ repeated rows; other columns are left out.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,71 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, text_of
+from .license_rules import RULES
 
 WORD = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
 GAP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: label: (names as words, SPDX identifiers, versions). Fixed values.
-FAMILIES: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
-    "mit": (("mit", "expat", "x11"), "mit", ()),
-    "apache": (("apache", "apache software"), "apache", ("1.0", "1.1", "2.0")),
-    "gpl": (("gnu general public", "gnu gpl", "gpl"), "gpl", ("1.0", "2.0", "3.0")),
-    "lgpl": (("gnu lesser general public", "gnu library general public", "lgpl"), "lgpl", ("2.0", "2.1", "3.0")),
-    "agpl": (("gnu affero general public", "affero general public", "agpl"), "agpl", ("1.0", "3.0")),
-    "bsd-2-clause": (("bsd 2 clause", "simplified bsd", "freebsd"), "bsd-2-clause", ()),
-    "bsd-3-clause": (("bsd 3 clause", "new bsd", "modified bsd", "revised bsd"), "bsd-3-clause", ()),
-    "bsd-4-clause": (("bsd 4 clause", "original bsd"), "bsd-4-clause", ()),
-    "bsd": (("bsd", "berkeley software distribution"), "bsd", ()),
-    "isc": (("isc", "internet systems consortium"), "isc", ()),
-    "mpl": (("mozilla public", "mpl"), "mpl", ("1.0", "1.1", "2.0")),
-    "epl": (("eclipse public", "epl"), "epl", ("1.0", "2.0")),
-    "cddl": (("common development and distribution", "cddl"), "cddl", ("1.0", "1.1")),
-    "eupl": (("european union public", "eupl"), "eupl", ("1.1", "1.2")),
-    "artistic": (("artistic", "perl artistic"), "artistic", ("1.0", "2.0")),
-    "boost": (("boost software", "bsl"), "bsl", ("1.0",)),
-    "zlib": (("zlib", "zlib libpng"), "zlib", ()),
-    "python": (("python software foundation", "psf"), "psf", ("2.0",)),
-    "ruby": (("ruby",), "ruby", ()),
-    "openssl": (("openssl", "ssleay"), "openssl", ()),
-    "unlicense": (("unlicense",), "unlicense", ()),
-    "wtfpl": (("do what the fuck you want to public", "wtfpl"), "wtfpl", ("2.0",)),
-    "ms-pl": (("microsoft public", "ms pl"), "ms-pl", ()),
-    "ms-rl": (("microsoft reciprocal", "ms rl"), "ms-rl", ()),
-    "ofl": (("sil open font", "open font", "ofl"), "ofl", ("1.0", "1.1")),
-    "cc0": (("creative commons zero", "cc0"), "cc0", ("1.0",)),
-    "cc-by": (("creative commons attribution", "cc by"), "cc-by", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-sa": (("creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"), "cc-by-sa", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nd": (("creative commons attribution noderivatives", "creative commons attribution no derivatives", "cc by nd"), "cc-by-nd", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nc": (("creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"), "cc-by-nc", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nc-sa": (("creative commons attribution noncommercial sharealike", "cc by nc sa"), "cc-by-nc-sa", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nc-nd": (("creative commons attribution noncommercial noderivatives", "cc by nc nd"), "cc-by-nc-nd", ("2.0", "2.5", "3.0", "4.0")),
-    "odbl": (("open database", "open data commons open database", "odbl"), "odbl", ("1.0",)),
-    "gfdl": (("gnu free documentation", "gfdl"), "gfdl", ("1.1", "1.2", "1.3")),
-    "upl": (("universal permissive", "upl"), "upl", ("1.0",)),
-    "apsl": (("apple public source", "apsl"), "apsl", ("1.2", "2.0")),
-    "postgresql": (("postgresql",), "postgresql", ()),
-    "proprietary": (("proprietary", "commercial"), "licenseref-proprietary", ()),
-}
-#: Sentences that give a license away without its name. Fixed values.
-SENTENCES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy", "the software is provided as is without warranty of any kind"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification",),
-    "bsd-3-clause": ("neither the name of the copyright holder nor the names of its contributors",),
-    "bsd-4-clause": ("all advertising materials mentioning features or use of this software",),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose",),
-    "gpl": ("this program is free software you can redistribute it and or modify it", "either version 2 of the license or at your option any later version", "either version 3 of the license or at your option any later version"),
-    "apache": ("you may not use this file except in compliance with the license",),
-    "mpl": ("this source code form is subject to the terms of the mozilla public",),
-    "zlib": ("altered source versions must be plainly marked as such",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
-    "public-domain": ("released into the public domain", "dedicated to the public domain", "no copyright is claimed"),
-    "proprietary": ("all rights reserved", "unauthorized copying of this file", "strictly confidential"),
-}
-LICENCE = "licen[sc]ed?"
-GRANT = f"(?:licen[sc]ed|released|distributed|available|published|covered){GAP}+(?:under|by|with|according{GAP}+to)"
-
-
 class Rule(NamedTuple):
     label: str
     keyword: str
@@ -103,40 +46,18 @@ class Found(NamedTuple):
     rule: int
 
 
-def phrase(words: str) -> str:
-    return f"{GAP}+".join(map(re.escape, words.split()))
-
-
-def version(v: str) -> str:
-    major, _, minor = v.partition(".")
-    end = rf"(?:\.0)?(?!\.?{WORD})" if minor == "0" else rf"\.{minor}(?!{WORD})"
-    return rf"(?:(?:version|ver|v){GAP}*)?{major}{end}"
-
-
-def whole(pattern: str) -> re.Pattern:
-    return re.compile(f"(?<!{WORD})(?:{pattern})(?!{WORD})")
+def compiled(expression: str) -> re.Pattern:
+    """An expression of the rules, in which a blank is what lies between two words."""
+    return re.compile(expression.replace("[ -]", GAP).replace(" ?", f"{GAP}*+").replace(" ", f"{GAP}++") + f"(?!{WORD})")
 
 
-def build_rules() -> list[Rule]:
-    """Hundreds of rules: for each family SPDX lines, names with version, grants and
-    plain names, and the sentences; the more a rule asks for, the higher its priority."""
+def build_rules(text: str = RULES) -> list[Rule]:
+    """The rules, best first."""
     rules = []
-    for label, (names, spdx, versions) in FAMILIES.items():
-        for v in versions:
-            at = re.escape(f"{spdx}-{v}")
-            rules.append(Rule(f"{label}-{v}", "spdx", 100, 0.99, whole(f"spdx{GAP}+license{GAP}+identifier{GAP}+{at}(?:-only|-or-later|\\+)?")))
-            for name in names:
-                word = max(name.split(), key=len)
-                rules.append(Rule(f"{label}-{v}", word, 80, 0.95, whole(f"{phrase(name)}(?:{GAP}+(?:public{GAP}+)?{LICENCE})?{GAP}+{version(v)}")))
-        rules.append(Rule(label, "spdx", 90, 0.97, whole(f"spdx{GAP}+license{GAP}+identifier{GAP}+{re.escape(spdx)}")))
-        for name in names:
-            word = max(name.split(), key=len)
-            rules.append(Rule(label, word, 60, 0.9, whole(f"{GRANT}{GAP}+(?:(?:the|an?|terms{GAP}+of|the{GAP}+terms{GAP}+of{GAP}+the){GAP}+)?{phrase(name)}(?:{GAP}+{LICENCE})?")))
-            rules.append(Rule(label, word, 40, 0.8, whole(f"{phrase(name)}{GAP}+{LICENCE}")))
-            rules.append(Rule(label, word, 30, 0.75, whole(f"licen[sc]e{GAP}*[:=]{GAP}*{phrase(name)}")))
-    for label, sentences in SENTENCES.items():
-        for s in sentences:
-            rules.append(Rule(label, max(s.split(), key=len), 50, 0.85 if len(s.split()) > 4 else 0.4, whole(phrase(s))))
+    for line in text.split("\n"):
+        if line and not line.startswith("#"):
+            label, keyword, priority, confidence, expression = line.split(" | ", 4)
+            rules.append(Rule(label, keyword, int(priority), float(confidence), compiled(expression)))
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -157,65 +78,78 @@ def rules() -> tuple:
         for k, ids in by.items():
             keywords.add_word(k, ids)
         keywords.make_automaton()
-        _rules = ordered, keywords, {k: whole(phrase(p)) for k, p in BASE.items()}
+        _rules = ordered, keywords, {k: compiled(p) for k, p in BASE.items()}
     return _rules
 
 
 def suppressed(found: list[Found], ordered: list[Rule]) -> list[Found]:
-    """What is left, by start: each detection, best first, is dropped if one that was
-    kept contains it. ``reach`` has, by start, the farthest end of those kept so far."""
-    kept: list[Found] = []
-    starts: list[int] = []
-    reach: list[int] = []
+    """What is left, by start: a detection goes if a better one contains it. ``reach``
+    is a tree of the farthest ends of better ones, by start."""
+    starts = sorted({f.start for f in found})
+    reach, kept = [0] * (len(starts) + 1), []
     for f in sorted(found, key=lambda f: (-ordered[f.rule].priority, f.start - f.end, f.rule, f.start)):
-        i = bisect_right(starts, f.start)
-        if i and reach[i - 1] >= f.end:
+        i = at = bisect_right(starts, f.start)
+        farthest = 0
+        while i:
+            farthest = max(farthest, reach[i])
+            i &= i - 1
+        if farthest >= f.end:
             continue
         kept.append(f)
-        if i and starts[i - 1] == f.start:
-            i -= 1
-            reach[i] = f.end
-        else:
-            starts.insert(i, f.start)
-            reach.insert(i, f.end)
-        while (i := i + 1) < len(reach) and reach[i] < f.end:
-            reach[i] = f.end
+        while at < len(reach):
+            reach[at] = max(reach[at], f.end)
+            at += at & -at
     return sorted(kept, key=lambda f: (f.start, f.end, f.rule))
 
 
+_inside = re.compile(WORD).match
+
+
+def places(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Matches that begin with a word. That is checked here, so that expressions may begin with what is searched for."""
+    m = pattern.search(text)
+    while m:
+        start, end = m.span()
+        if start and _inside(text, start - 1):
+            end = start + 1
+        else:
+            yield start, end
+        m = pattern.search(text, end)
+
+
 def scan(text: str) -> tuple[list[Found], list[tuple[str, int]]]:
     """Detections left, and the places (label, offset) of the base phrases, in a lower-cased text."""
     ordered, keywords, base = rules()
     run = sorted({i for _, ids in keywords.iter(text) for i in ids})
-    found = [Found(ordered[i].label, m.start(), m.end(), i) for i in run for m in ordered[i].regex.finditer(text)]
-    places = [(label, m.start()) for label, p in base.items() for m in p.finditer(text)] if "license" in text else []
-    return suppressed(found, ordered) if found else [], places
+    found = [Found(ordered[i].label, start, end, i) for i in run for start, end in places(ordered[i].regex, text)]
+    return suppressed(found, ordered) if found else [], [(label, start) for label, p in base.items() for start, _ in places(p, text)] if "license" in text else []
 
 
-_word_byte = np.array([i >= 128 or 48 <= i < 58 or 97 <= i < 123 for i in range(256)])
+_word = np.array([i >= 128 or 48 <= i < 58 or 97 <= i < 123 for i in range(129)])
 
 
 def word_starts(text: str) -> np.ndarray:
-    """Offsets, in UTF-8, of the words of a lower-cased text."""
-    word = _word_byte[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    return np.flatnonzero(word[1:] & ~word[:-1]) + 1 if not len(word) or not word[0] else np.append(0, np.flatnonzero(word[1:] & ~word[:-1]) + 1)
+    """Offsets of the words of a lower-cased text."""
+    word = _word[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 128)]
+    return np.flatnonzero(word & ~np.append(False, word[:-1]))
 
 
 def examine(text: str) -> dict:
     """The columns of ``detect`` for one text."""
     low = text.encode("utf-8", "replace").lower().decode()
     starts = word_starts(low)
-    found, places = scan(low)
-    at = [int(np.searchsorted(starts, len(low[:p].encode("utf-8", "replace")))) for _, p in places]
+    found, phrases = scan(low)
+    at = np.searchsorted(starts, [p for _, p in phrases]).tolist()
     ordered = rules()[0]
-    doubt = 1.0
-    for label in {f.label for f in found}:
-        doubt *= 1 - max(ordered[f.rule].confidence for f in found if f.label == label)
-    base = sorted({label for label, _ in places})
+    sure: dict[str, float] = {}
+    for f in found:
+        sure[f.label] = max(sure.get(f.label, 0.0), ordered[f.rule].confidence)
+    doubt = math.prod(1 - x for x in sure.values())
+    base = sorted({label for label, _ in phrases})
     return {
-        "n_words": len(starts), "n_base": len(places), "first_word": min(at, default=None), "last_word": max(at, default=None),
-        "base_labels": ",".join(base), "labels": ",".join(sorted({*base, *(f.label for f in found)})),
-        "score": max(1 - doubt, 0.8 * bool(places)), "detections": [{"label": f.label, "start": f.start, "end": f.end, "priority": ordered[f.rule].priority} for f in found],
+        "n_words": len(starts), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None),
+        "base_labels": ",".join(base), "labels": ",".join(sorted({*base, *sure})),
+        "score": max(1 - doubt, 0.8 * bool(at)), "detections": [{"label": f.label, "start": f.start, "end": f.end, "priority": ordered[f.rule].priority} for f in found],
     }
 
 

@@ -16,6 +16,7 @@ Null bytes give a null type and no embedded media; empty bytes the type
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -32,6 +33,10 @@ UNKNOWN = "application/octet-stream"
 BLOCK, FILL, WIDTH = 576, b"\xff", 64
 
 
+class Hopeless(Exception):
+    """No medium of this format ends in what is left of the bytes."""
+
+
 class Medium(NamedTuple):
     kind: str
     start: int
@@ -108,6 +113,8 @@ def gif_end(b: bytes, at: int) -> int | None:
 
 def jpeg_end(b: bytes, at: int) -> int | None:
     p = at + 2
+    if b.find(b"\xff\xd9", p) < 0:
+        raise Hopeless
     while p + 4 <= len(b) and b[p] == 0xFF and 0xC0 <= b[p + 1] < 0xFF:
         kind, n = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
         if n < 2:
@@ -126,20 +133,42 @@ def jpeg_end(b: bytes, at: int) -> int | None:
 
 
 def pdf_end(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 if end > at and b.find(b"startxref", at, end) > 0 and b[at + 5 : at + 8].replace(b".", b"").isdigit() else None
+    """At the first end mark behind a startxref; a later revision, appended to the
+    file, goes on to the next one (its own part begins with neither magic bytes nor other data)."""
+    if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
+        return None
+    xref = b.find(b"startxref", at)
+    if xref < 0 or (end := b.find(b"%%EOF", xref)) < 0:
+        raise Hopeless
+    end += 5
+    while m := REVISION.match(b, end):
+        xref = b.find(b"startxref", m.end())
+        more = b.find(b"%%EOF", xref) if xref >= 0 else -1
+        if more < 0:
+            break
+        end = more + 5
+    return end
+
+
+#: What a revision of a PDF begins with: an object.
+REVISION = re.compile(rb"[\r\n]{1,4}[0-9]{1,10} [0-9]{1,5} obj\b")
 
 
 def gzip_end(b: bytes, at: int) -> int | None:
+    """Inflated a bite at a time; nothing inflated is kept."""
+    d, whole = zlib.decompressobj(31), memoryview(b)
     try:
-        d = zlib.decompressobj(31)
-        left = memoryview(b)[at:]
-        d.decompress(left, 1)
-        while not d.eof and d.unconsumed_tail:
-            d.decompress(d.unconsumed_tail, 1 << 20)
-        return len(b) - len(d.unused_data) if d.eof else None
+        while at < len(b):
+            bite = whole[at : at + 16_384]
+            at += len(bite)
+            d.decompress(bite, 1 << 20)
+            while not d.eof and d.unconsumed_tail:
+                d.decompress(d.unconsumed_tail, 1 << 20)
+            if d.eof:
+                return at - len(d.unused_data)
     except zlib.error:
-        return None
+        pass
+    return None
 
 
 #: Magic bytes, type and validator.
@@ -171,10 +200,17 @@ def automaton():
 
 def sniff(b: bytes) -> list[Medium]:
     """Confirmed media in order, outermost only."""
-    found, done = [], 0
+    found, done, hopeless = [], 0, set()
     hits = sorted((end + 1 - n, i) for end, (i, n) in automaton().iter(b.decode("latin-1")))
     for at, i in hits:
-        if at >= done and (end := FORMATS[i][2](b, at)) is not None:
+        if at < done or i in hopeless:
+            continue
+        try:
+            end = FORMATS[i][2](b, at)
+        except Hopeless:
+            hopeless.add(i)
+            continue
+        if end is not None:
             found.append(Medium(FORMATS[i][1], at, end))
             done = end
     return found
@@ -260,7 +296,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         first = media[0]
         back = read_back(stored[first.start : first.end], first.kind)
         x = np.frombuffer(back, np.uint8)
-        inner = len(media) - 1 + sum(m.start > 0 for m in sniff(back))
+        inner = len(media) - 1 + len(sniff(back))
         feature = f"{first.kind};corrected={int(first.kind != 'audio/wav')};embedded={inner};samples={len(x)};sum={int(x.sum(dtype=np.int64))};min={x.min()};max={x.max()}"
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 

@@ -24,13 +24,15 @@ from .common import table, text_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "key")
-#: Score of a confirmed span without context; what a context word within WINDOW characters before or behind adds (words against it count before only); least score of the further kinds.
+#: Score of a confirmed span without context; what a context word that begins and ends within WINDOW characters before or behind adds (words against it count before only); least score of the further kinds.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "key": 0.6}
 CONTEXT = {
-    "email": ("mail", "contact"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "fax", "mobile"),
-    "iban": ("iban", "account", "bank"), "ssn": ("ssn", "social", "security"), "key": ("key", "token", "secret", "password"),
+    "email": {"mail", "email", "mails", "contact", "write", "reach"}, "ip": {"ip", "ips", "ipv4", "host", "address", "server", "ping", "login"},
+    "card": {"card", "cards", "visa", "mastercard", "credit", "debit", "payment", "pay"}, "phone": {"phone", "telephone", "tel", "call", "fax", "mobile", "cell", "dial"},
+    "iban": {"iban", "account", "bank", "transfer"}, "ssn": {"ssn", "social", "security"}, "key": {"key", "api", "token", "secret", "password", "credentials"},
 }
-AGAINST = ("example", "sample", "test", "version", "isbn", "order")
+AGAINST = {"example", "examples", "sample", "test", "version", "isbn", "order"}
+NEAR = re.compile(r"[a-z0-9]+")
 WINDOW, RAISE, LOWER, THRESHOLD = 40, 0.15, 0.2, 0.5
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,12 +124,21 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "key", m.start(1), m.end(1)
 
 
+def words_near(text: str, begin: int, end: int) -> set[str]:
+    """The words of text[begin:end] that neither end cuts in two; parts of a name joined by _ are words."""
+    while begin < end and begin and text[begin - 1].isalnum() and text[begin].isalnum():
+        begin += 1
+    while begin < end and end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end -= 1
+    return set(NEAR.findall(text[begin:end].lower()))
+
+
 def find(text: str) -> list[Span]:
     """All spans, by start, then kind in the order of KINDS."""
     spans = []
     for kind, start, end in proposed(text):
-        near, behind = text[max(0, start - WINDOW) : start].lower(), text[end : end + WINDOW].lower()
-        score = PRIOR[kind] + RAISE * any(w in near or w in behind for w in CONTEXT[kind]) - LOWER * any(w in near for w in AGAINST)
+        near, behind = words_near(text, max(0, start - WINDOW), start), words_near(text, end, min(len(text), end + WINDOW))
+        score = PRIOR[kind] + RAISE * (not CONTEXT[kind].isdisjoint(near | behind)) - LOWER * (not AGAINST.isdisjoint(near))
         if kind in BASE or score >= THRESHOLD:
             spans.append(Span(kind, start, end, round(min(1.0, max(0.0, score)), 4)))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
