@@ -341,8 +341,10 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
     leaders = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
     leading = leaders.select("doc_id", F.explode("bands").alias("key"))
-    buckets = leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(leading.join(buckets, "key").select("key", "doc_id", "lead", "size"), "members")
+    # Apart from the count, so that a bucket with many members can be split in the join.
+    buckets = stored(leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    with bloom_filters(spark):
+        members = stored(leading.join(buckets.where("size > 1"), "key").select("key", "doc_id", "lead", "size"), "members")
     tried = stored(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     ends = stored(tried.select("a").union(tried.select("b")).distinct().select(F.col("a").alias("doc_id"), F.lit(1).alias("chosen")), "ends")
     chosen = ends.where("chosen = 1").select("doc_id")

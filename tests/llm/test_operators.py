@@ -208,8 +208,9 @@ def test_bpe(spark, db, odd, empty):
 def test_topk_odd_vectors(spark):
     v = [(0, [1.0, 0.5]), (100, [1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0])]
     df = topk.quantised(spark.createDataFrame(v, "vec_id long, embedding array<float>"))
+    df = df.withColumns({"shard": F.lit("clash"), "floor": F.lit("clash"), "side": F.lit("clash")})
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 786432), (0, 2, 2, 786432), (0, 3, 7, -1048576)]
+    assert got == [(0, 1, 1, 786432), (0, 2, 2, 786432), (0, 3, 2, 786432), (0, 4, 7, -1048576)]
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -339,3 +340,29 @@ def test_neardup_rows_without_an_id_and_repeats(spark, odd):
     assert out.columns == df.columns and out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(3, one), (None, two), (None, None), (None, ""), (9, "nine"), (9, one)]))
     assert neardup.deduplicated(odd).count() == len(set(ODD))
+
+
+def brute_topk(ids, x, asked, k):
+    out = []
+    for q in asked:
+        scores = x @ x[q]
+        other = np.flatnonzero(ids != ids[q])
+        best = other[np.lexsort((ids[other], -scores[other]))[:k]]
+        out += [(int(ids[q]), n + 1, int(ids[b]), int(scores[b])) for n, b in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_skips_blocks_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1000, (40, 12))
+    x = np.floor(centres[rng.integers(0, 40, 12_000)] + rng.normal(0, 30, (12_000, 12))).astype(np.int64)
+    ids = rng.permutation(len(x)).astype(np.int64)
+    index = topk.Index(ids, x)
+    asked = np.flatnonzero(ids % 100 == 0)
+    got = []
+    for i, found, scores in index.search(ids[asked], x[asked], np.full(len(asked), -(2**63)), 10):
+        got += [(int(ids[asked][i]), n + 1, int(v), int(s)) for n, (v, s) in enumerate(zip(found, scores, strict=True))]
+    want = brute_topk(ids, x, asked, 10)
+    assert sorted(got) == want and index.scored < index.blocks / 2
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, v array<long>")
+    assert sorted(map(tuple, topk.search(df, df.where("vec_id % 100 = 0")).collect())) == want
