@@ -355,24 +355,26 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         with bloom_filters(spark):
-            return stored(confirm(stored(pairs, "pairs"), texts, words), "links")
+            return stored(confirm(pairs, texts, words), "links")
 
-    links = linked(may_link(tried, maps))
+    links = linked(stored(may_link(tried, maps), "pairs"))
     found = components(links)
     members = members.where("size > 2").select("key", "doc_id", "lead").join(maps, "doc_id")
-    nearest = True
-    while True:
-        candidates = across(still_apart(members, found), nearest)
-        ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        untried = stored(ordered.join(tried, ["a", "b"], "left_anti"), "untried")
-        more = linked(untried)
-        n, m = untried.count(), more.count()
+    apart, nearest = still_apart(members, found), True
+    while not apart.isEmpty():
+        candidates = across(apart, nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        untried = stored(candidates.join(tried, ["a", "b"], "left_anti"), "untried")
+        n = untried.count()
+        more = linked(untried) if n else untried
+        m = more.count()
         if m:
             links = links.union(more)
             found = components(links)
         if not nearest:
             break
         nearest, tried = m > PAYS * n, tried.union(untried)
+        if m:
+            apart = still_apart(members, found)
 
     whole = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
