@@ -33,17 +33,17 @@ def commits(log: DataFrame) -> DataFrame:
 
 def status_current(log: DataFrame) -> DataFrame:
     """aggregate_key, status, status_at of entities that have one; '' clears."""
-    last = commits(log).where("status IS NOT NULL").groupBy(KEY).agg(F.max_by("status", "commit_seq").alias("status"), F.max_by("status_at", "commit_seq").alias("status_at"))
-    return last.where("status <> ''")
+    last = commits(log).where("status IS NOT NULL").groupBy(KEY).agg(F.max_by(F.struct("status", "status_at"), "commit_seq").alias("s"))
+    return last.select(KEY, "s.status", "s.status_at").where("status <> ''")
 
 
 def status_entered(log: DataFrame) -> DataFrame:
     """status_current with entered_at: since when the status is the present one without a change."""
     c = commits(log).where("status IS NOT NULL")
     w = Window.partitionBy(KEY).orderBy("commit_seq")
-    c = c.withColumn("new", F.coalesce((F.lag("status").over(w) != F.col("status")).cast("int"), F.lit(1)))
-    begun = c.where("new = 1").groupBy(KEY).agg(F.max_by("status_at", "commit_seq").alias("entered_at"))
-    return status_current(log).join(begun, KEY)
+    c = c.withColumn("new", F.coalesce(F.lag("status").over(w) != F.col("status"), F.lit(True)))
+    last = c.groupBy(KEY).agg(F.max_by(F.struct("status", "status_at"), "commit_seq").alias("s"), F.expr("max_by(status_at, commit_seq) FILTER (WHERE new)").alias("entered_at"))
+    return last.select(KEY, "s.status", "s.status_at", "entered_at").where("status <> ''")
 
 
 def labels_current(log: DataFrame) -> DataFrame:
@@ -70,17 +70,18 @@ def counter(log: DataFrame, plus: str = "purchase", minus: str = "view", reset:
     """aggregate_key, value: a counter with reset, as sums since the last reset.
     ``state`` (aggregate_key, snapshot_seq, start) is where the fold begins; without it, at zero."""
     change = F.when(F.col("event_type") == plus, 1).when(F.col("event_type") == minus, -1).otherwise(0)
-    if state is not None:
-        # A state without a tail still counts.
-        tail = log.join(state, KEY, "right")
-        live = F.col("sequence") >= F.col("snapshot_seq")
-    else:
-        tail, live = log.withColumn("start", F.lit(0).cast("long")), F.lit(True)
-    last = F.max(F.when(live & (F.col("event_type") == reset), F.col("sequence"))).over(Window.partitionBy(KEY))
-    tail = tail.withColumn("last_reset", last)
-    since = live & (F.col("last_reset").isNull() | (F.col("sequence") > F.col("last_reset")))
-    begin = F.when(F.max("last_reset").isNull(), F.max("start")).otherwise(0)
-    return tail.groupBy(KEY).agg((begin + F.sum(F.when(since, change).otherwise(0))).cast("long").alias("value"))
+    log = log.select(KEY, "sequence", "event_type")
+    if state is None:
+        resets = log.groupBy(KEY).agg(F.max(F.when(F.col("event_type") == reset, F.col("sequence"))).alias("last_reset"))
+        since = F.col("last_reset").isNull() | (F.col("sequence") > F.col("last_reset"))
+        return log.join(resets, KEY).groupBy(KEY).agg(F.sum(F.when(since, change).otherwise(0)).cast("long").alias("value"))
+    # A state without a tail still counts.
+    tail = log.join(state, KEY).where("sequence >= snapshot_seq")
+    resets = tail.where(F.col("event_type") == reset).groupBy(KEY).agg(F.max("sequence").alias("last_reset"))
+    since = tail.join(resets, KEY, "left").where("last_reset is null or sequence > last_reset").groupBy(KEY).agg(F.sum(change).alias("change"))
+    begun = state.join(resets, KEY, "left").join(since, KEY, "left")
+    begin = F.when(F.col("last_reset").isNull(), F.col("start")).otherwise(0)
+    return begun.select(KEY, (begin + F.coalesce("change", F.lit(0))).cast("long").alias("value"))
 
 
 def running_counter(log: DataFrame, plus: str = "purchase", minus: str = "view") -> DataFrame:
@@ -90,8 +91,24 @@ def running_counter(log: DataFrame, plus: str = "purchase", minus: str = "view")
     return handled.select(KEY, "sequence", F.sum(F.when(F.col("event_type") == plus, 1).otherwise(-1)).over(w).cast("long").alias("value"))
 
 
+def indexed(events: DataFrame, status: Column, labels: Column) -> DataFrame:
+    """events with what an indexer of column expressions says of each: status (null: no
+    change, '': cleared) and labels (a map; value '': removed)."""
+    return events.withColumns({"status": status, "labels": labels})
+
+
+def typed(events: DataFrame, schema: str, strict: bool = False) -> DataFrame:
+    """events with ``value``, decoded from their data. What cannot be decoded is left out,
+    so that a fold keeps its state; with ``strict`` it is an error."""
+    options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    value = F.from_json("data", schema if strict else f"{schema}, _corrupt string", options)
+    events = events.withColumn("value", value)
+    return events if strict else events.where("value is not null and value._corrupt is null").withColumn("value", F.col("value").dropFields("_corrupt"))
+
+
 def fold(log: DataFrame, init: Column, step) -> DataFrame:
-    """aggregate_key, state: an ordered left fold by column expressions, step(state, event)."""
+    """aggregate_key, state: an ordered left fold by column expressions, step(state,
+    event), for entities whose events fit into a row (others: sums, as in ``counter``)."""
     events = F.sort_array(F.collect_list(F.struct("sequence", "event_type", "data")))
     return log.groupBy(KEY).agg(events.alias("e")).select(KEY, F.aggregate("e", init, step).alias("state"))
 

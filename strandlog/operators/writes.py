@@ -48,7 +48,7 @@ def retained(log: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def due(log: DataFrame, snapshots: DataFrame, ratio: float = 1.0) -> DataFrame:
-    """Entities whose tail, in bytes, outweighs their snapshot by more than ratio."""
+    """Entities whose tail, in bytes, outweighs their snapshot by more than ratio (strictly)."""
     tail = log.join(snapshots, KEY).where("sequence >= snapshot_seq")
     sizes = tail.groupBy(KEY).agg(F.sum(F.octet_length("data")).cast("long").alias("tail_bytes"), F.max(F.octet_length("snapshot_data")).cast("long").alias("snapshot_bytes"))
     return sizes.where(F.col("tail_bytes") / F.col("snapshot_bytes") > ratio)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, ids
 from ..operators import views, writes
 from ..sources.adapters import order_log, user_log
+from ..sources.shared import shared_dir
+from ..sources.store import Config, EventStore
 
 KEY = views.KEY
 
@@ -57,8 +58,10 @@ def q04(s, d):
 
 
 def q05(s, d):
+    """Some entities have a snapshot and no events."""
     log = user_log(s, d)
-    return log.select(KEY).union(_snapshots(log).select(KEY)).distinct()
+    only = s.range(900_000, 900_003).select(ids.key(F.array(F.lit("user"), F.col("id").cast("string"))).alias(KEY))
+    return log.select(KEY).union(_snapshots(log).select(KEY)).union(only).distinct()
 
 
 def q06(s, d):
@@ -75,7 +78,9 @@ def q08(s, d):
 
 
 def q09(s, d):
-    return views.status_current(user_log(s, d))
+    """With an indexer by which a click clears the status."""
+    log = user_log(s, d)
+    return views.status_current(views.indexed(log, F.when(F.col("event_type") == "click", F.lit("")).otherwise(F.col("status")), F.col("labels")))
 
 
 def q10(s, d):
@@ -159,12 +164,25 @@ def q26(s, d):
 
 
 def q27(s, d):
-    return views.audit(user_log(s, d))
+    """Of a log in which some users lack an event and some have one twice."""
+    log = user_log(s, d)
+    return views.audit(log.where("user_id % 5 <> 0 or sequence <> 1").union(log.where("user_id % 3 = 0 and sequence = 0")))
 
 
 def q28(s, d):
-    handled = F.col("event_type").isin("purchase", "view", "error")
-    return user_log(s, d).groupBy("event_type", handled.alias("handled")).agg(F.count(F.lit(1)).alias("n"))
+    """What handlers get of a stream, by type; types without one are ignored."""
+    from ..streaming.feed import dispatch, feed
+
+    path, log = f"{shared_dir(s)}/dispatch-{uuid.uuid4().hex}", user_log(s, d).select(KEY, "sequence", "event_type", "data")
+    log.write.parquet(f"{path}/in")
+
+    def handler(kind):
+        return lambda batch: batch.write.mode("append").parquet(f"{path}/out/{kind}")
+
+    dispatch(feed(s, f"{path}/in"), {k: handler(k) for k in ("purchase", "view", "error")}, f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = s.read.parquet(f"{path}/out/*").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    every = log.groupBy("event_type").agg(F.count(F.lit(1)).alias("m"))
+    return every.join(got, "event_type", "left").select("event_type", F.col("n").isNotNull().alias("handled"), F.coalesce("n", "m").alias("n"))
 
 
 def q29(s, d):
@@ -180,20 +198,18 @@ def q31(s, d):
 
 
 def q32(s, d):
-    """The stream's projection after all that is there, by keeping each entity's last value."""
+    """The stream's projection after all that is there, by keeping each entity's last
+    value. Events come in two parts, mixed, the second with some of the first again; the stream is started anew for it."""
     from ..streaming.feed import counters, feed
 
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    user_log(s, d).select(KEY, "sequence", "event_type", "data").write.parquet(f"{path}/in")
+    path, log = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}", user_log(s, d).select(KEY, "sequence", "event_type", "data")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/out/b{n}")
 
-    stream = counters(feed(s, f"{path}/in")).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
-    stream.awaitTermination()
+    for part in ("sequence % 3 <> 1", "sequence % 3 <> 2"):
+        log.where(part).write.mode("append").parquet(f"{path}/in")
+        counters(feed(s, f"{path}/in")).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
     out = s.read.parquet(f"{path}/out/*")
     return out.groupBy(KEY).agg(F.max_by("value", F.struct("next_seq", "batch")).alias("value"))
 
@@ -206,6 +222,73 @@ def q33(s, d):
     return writes.chain(r, h)
 
 
+def q34(s, d):
+    """The counter as an ordered fold."""
+    def step(state, e):
+        kind = e["event_type"]
+        return F.when(kind == "error", F.lit(0).cast("long")).otherwise(state + F.when(kind == "purchase", 1).when(kind == "view", -1).otherwise(0))
+
+    return views.fold(user_log(s, d), F.lit(0).cast("long"), step).withColumnRenamed("state", "value")
+
+
+def q35(s, d):
+    """Forms of an id and of a sequence."""
+    heads = user_log(s, d).groupBy("aggregate_id", KEY).agg(F.max("sequence").alias("last"))
+    return heads.select(KEY, ids.display(F.col("aggregate_id")).alias("display"), ids.base64url(F.col(KEY)).alias("encoded"), ids.padded(F.col("last")).alias("last"))
+
+
+def q36(s, d):
+    """Events as JSON and back."""
+    log = user_log(s, d)
+    back = log.select(KEY, codec.from_json(codec.to_json("event_at_ns", "event_type", "aggregate_id", "data", "sequence")).alias("e"))
+    return back.select(KEY, "e.sequence", "e.event_at_ns", "e.event_type", "e.data", F.element_at("e.aggregate_id", 2).alias("user"))
+
+
+def q37(s, d):
+    """A typed fold; events whose data cannot be decoded leave the sum as it is."""
+    log = user_log(s, d)
+    cut = log.withColumn("data", F.when(F.col("sequence") % 4 == 3, F.expr("left(data, length(data) - 1)")).otherwise(F.col("data")))
+    sums = views.typed(cut, "k bigint").groupBy(KEY).agg(F.sum("value.k").alias("total"))
+    return views.heads(log).join(sums, KEY, "left").select(KEY, F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
+def _store(s, d) -> EventStore:
+    """The users' log in a store that trims at its snapshots; every entity's newest is at its head, and one has nothing else."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    if not path.startswith(("file:", "/")):
+        raise ValueError("an EventStore needs a POSIX file system")
+    store = EventStore(s, path.removeprefix("file://"), Config(trim=True))
+    log = user_log(s, d)
+    at = log.groupBy("aggregate_id", KEY).agg((F.max("sequence") + 1).alias("snapshot_seq"))
+    only = F.array(F.lit("user"), F.lit("900000"))
+    at = at.union(s.range(1).select(only.alias("aggregate_id"), ids.key(only).alias(KEY), F.lit(5).cast("long").alias("snapshot_seq")))
+    store.load(log, at.withColumn("snapshot_data", F.lit("{}")))
+    return store
+
+
+def q38(s, d):
+    return _store(s, d).list_by_status("paid")
+
+
+def q39(s, d):
+    return _store(s, d).list_by_label("k", "7")
+
+
+def q40(s, d):
+    store = _store(s, d)
+    return store.list_aggregates(["user"]).join(store.heads(), KEY).select(KEY, "head")
+
+
+def q41(s, d):
+    return _store(s, d).list_label_values("k")
+
+
+def q42(s, d):
+    """The status of one entity."""
+    store = _store(s, d)
+    return s.createDataFrame([(u, store.status_of(["user", str(u)])) for u in (1, 7, 900000)], "user_id long, status string")
+
+
 _U = """ev0 AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, props, concat('4:user;', length(CAST(user_id AS VARCHAR)), ':', user_id, ';') AS aggregate_key,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence,
   CASE event_type WHEN 'signup' THEN 'active' WHEN 'purchase' THEN 'paid' WHEN 'error' THEN 'failed' END AS st, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
@@ -233,11 +316,11 @@ t AS (SELECT l_orderkey, count(*) AS n_items, sum(CAST(round(l_extendedprice * 1
         "q02": "SELECT aggregate_key, sequence, event_type, props AS data FROM ev WHERE user_id = 7 AND sequence >= 10",
         "q03": f"SELECT aggregate_key FROM h UNION ALL SELECT DISTINCT {_O} FROM orders",
         "q04": f"SELECT DISTINCT {_O} FROM orders",
-        "q05": "SELECT aggregate_key FROM h UNION SELECT aggregate_key FROM sn",
+        "q05": "SELECT aggregate_key FROM h UNION SELECT aggregate_key FROM sn UNION SELECT concat('4:user;6:', i, ';') FROM range(900000, 900003) t(i)",
         "q06": "SELECT aggregate_key, sequence, k FROM ev",
         "q07": "SELECT DISTINCT aggregate_key, concat('user\\:', user_id, ':a\\\\b') AS joined FROM ev",
         "q08": "SELECT aggregate_key, greatest(head, 3 * snapshot_seq, 0) AS head FROM h JOIN sm USING (aggregate_key)",
-        "q09": "SELECT * FROM sc",
+        "q09": "SELECT * FROM (SELECT aggregate_key, arg_max(status, commit_seq) AS status, arg_max(status_at, commit_seq) AS status_at FROM (SELECT aggregate_key, commit_seq, arg_max(s2, sequence) FILTER (WHERE s2 IS NOT NULL) AS status, arg_max(ts, sequence) AS status_at FROM (SELECT *, CASE event_type WHEN 'click' THEN '' ELSE st END AS s2 FROM ev) GROUP BY ALL) WHERE status IS NOT NULL GROUP BY 1) WHERE status <> ''",
         "q10": "SELECT * FROM sc WHERE status = 'paid'",
         "q11": "SELECT sc.*, entered_at FROM sc JOIN (SELECT aggregate_key, max(status_at) AS entered_at FROM (SELECT *, lag(status) OVER (PARTITION BY aggregate_key ORDER BY commit_seq) AS p FROM cm WHERE status IS NOT NULL) WHERE p IS NULL OR p <> status GROUP BY 1) USING (aggregate_key)",
         "q12": "SELECT * FROM lv",
@@ -255,12 +338,21 @@ t AS (SELECT l_orderkey, count(*) AS n_items, sum(CAST(round(l_extendedprice * 1
         "q24": "SELECT aggregate_key, snapshot_seq, n_events FROM ar",
         "q25": "SELECT aggregate_key, head FROM h ANTI JOIN ar USING (aggregate_key)",
         "q26": "SELECT stream_id, aggregate_key FROM ar WHERE user_id % 20 <> 0",
-        "q27": "SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_repeats FROM ev",
+        "q27": "SELECT CAST(sum(head - (user_id % 5 = 0 AND head > 1)::INT + (user_id % 3 = 0)::INT) AS BIGINT) AS n_events, count(*) FILTER (WHERE user_id % 5 = 0 AND head > 2) AS n_gaps, count(*) FILTER (WHERE user_id % 3 = 0) AS n_repeats FROM h",
         "q28": "SELECT event_type, event_type IN ('purchase', 'view', 'error') AS handled, count(*) AS n FROM ev GROUP BY ALL",
         "q29": "SELECT label, value, count(*) AS n_aggregates FROM lv GROUP BY ALL",
         "q30": "SELECT aggregate_key, CAST(sum(n_events) AS BIGINT) AS n_events, count(*) AS n_commits FROM cm GROUP BY 1",
         "q31": "SELECT aggregate_key, sequence, epoch_us(ts) * 1000 AS event_at_ns, event_type, props AS data FROM ev",
         "q32": "SELECT * FROM ct",
+        "q34": "SELECT * FROM ct",
+        "q35": "SELECT aggregate_key, concat('[\"user\",\"', user_id, '\"]') AS display, replace(replace(rtrim(to_base64(encode(aggregate_key)), '='), '+', '-'), '/', '_') AS encoded, lpad(CAST(head - 1 AS VARCHAR), 20, '0') AS last FROM h",
+        "q36": "SELECT aggregate_key, sequence, epoch_us(ts) * 1000 AS event_at_ns, event_type, props AS data, CAST(user_id AS VARCHAR) AS user FROM ev",
+        "q37": "SELECT aggregate_key, CAST(coalesce(sum(CASE WHEN sequence % 4 <> 3 THEN k END), 0) AS BIGINT) AS total FROM ev GROUP BY 1",
+        "q38": "SELECT * FROM sc WHERE status = 'paid'",
+        "q39": "SELECT aggregate_key FROM lv WHERE value = '7'",
+        "q40": "SELECT aggregate_key, head FROM h UNION ALL SELECT '4:user;6:900000;', 5",
+        "q41": "SELECT DISTINCT value FROM lv",
+        "q42": "SELECT u AS user_id, coalesce(status, '') AS status FROM (VALUES (1), (7), (900000)) t(u) LEFT JOIN sc ON aggregate_key = concat('4:user;', length(CAST(u AS VARCHAR)), ':', u, ';')",
         "q33": "SELECT aggregate_key, CAST(a AS BIGINT) AS arrival, head + CASE a WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS actual, a IN (0, 2, 3) AS accepted FROM h, range(4) r(a)",
     }
     return {q: f"WITH {_U}, {it} {sql}" for q, sql in body.items()}
@@ -271,6 +363,7 @@ NAMES = {
     "q09": "q09_status", "q10": "q10_by_status", "q11": "q11_status_entered", "q12": "q12_labels", "q13": "q13_by_label", "q14": "q14_counter", "q15": "q15_orders", "q16": "q16_running",
     "q17": "q17_newest_snapshot", "q18": "q18_snapshot_tail", "q19": "q19_snapshot_due", "q20": "q20_append", "q21": "q21_conflicts", "q22": "q22_retained", "q23": "q23_absent",
     "q24": "q24_archive", "q25": "q25_live", "q26": "q26_pending", "q27": "q27_audit", "q28": "q28_dispatch", "q29": "q29_label_values", "q30": "q30_counts", "q31": "q31_binary_codec", "q32": "q32_stream", "q33": "q33_chain",
+    "q34": "q34_fold", "q35": "q35_id_forms", "q36": "q36_json_codec", "q37": "q37_typed", "q38": "q38_store_by_status", "q39": "q39_store_by_label", "q40": "q40_store_list", "q41": "q41_store_label_values", "q42": "q42_store_status",
 }
 
 

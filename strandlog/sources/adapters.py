@@ -1,4 +1,8 @@
-"""Logs from plain tables: users' events, and orders with their items."""
+"""Logs from plain tables: users' events, and orders with their items.
+
+To number events takes a shuffle and a sort of the whole table; so a log is written once
+for a session, rows of an entity together and in order, and all queries read that.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..operators import views
+from .shared import written
 
 STATUS = {"signup": "active", "purchase": "paid", "error": "failed"}
 
@@ -15,27 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``number_users``."""
+    return written(spark, "user-log", [f"{sf_dir}/events.parquet"], lambda: number_users(spark, sf_dir), "aggregate_key", "sequence")
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``number_orders``."""
+    return written(spark, "order-log", [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"], lambda: number_orders(spark, sf_dir), "aggregate_key", "sequence")
+
+
+def number_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream for each user; a commit holds the events of a user's day.
 
     user_id, aggregate_id, aggregate_key, sequence, commit_seq, event_at, event_at_ns,
     event_type, data, status (null: no change), labels (value '': removal)."""
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    return (
+    numbered = (
         ev.withColumn("sequence", (F.row_number().over(stream) - 1).cast("long"))
         .withColumn("commit_seq", F.min("sequence").over(Window.partitionBy("user_id", F.to_date("ts"))))
         .select(
             "user_id", F.array(F.lit("user"), F.col("user_id").cast("string")).alias("aggregate_id"), "sequence", "commit_seq",
             F.col("ts").alias("event_at"), (F.unix_micros("ts") * 1000).alias("event_at_ns"), "event_type", F.col("props").alias("data"),
-            F.coalesce(*(F.when(F.col("event_type") == t, F.lit(s)) for t, s in STATUS.items())).alias("status"),
-            F.create_map(F.lit("k"), F.when(k % 10 == 0, F.lit("")).otherwise(k.cast("string"))).alias("labels"),
         )
         .withColumn("aggregate_key", ids.key(F.col("aggregate_id")))
     )
+    k = F.get_json_object("data", "$.k").cast("int")
+    status = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(s)) for t, s in STATUS.items()))
+    return views.indexed(numbered, status, F.create_map(F.lit("k"), F.when(k % 10 == 0, F.lit("")).otherwise(k.cast("string"))))
 
 
-def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def number_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, aggregate_key, sequence, event_type, product_id, quantity, cents:
     created, the items in order, and how the order ended."""
     o = table(spark, sf_dir, "orders")
