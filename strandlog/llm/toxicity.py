@@ -41,6 +41,8 @@ from .common import id_crc, label_sample, stored, table, text_of, unused
 
 #: Labelled rows learnt from, at most; documents a feature needs; pseudo-documents at the base rate; features a task counts before it passes them on.
 LABELLED, LEAST, SHRINK, COUNTED = 60_000, 4, 2.0, 100_000
+#: Characters that are compared as whole arrays at once, about.
+TOGETHER = 300_000
 #: Nats by which a feature's likelihood ratio must exceed the logarithm of the number of features tried;
 #: documents that it alone explains.
 SURE, NEW = 2.0, 2
@@ -76,6 +78,27 @@ for _i in range(0x250):
     _code[_i] = _fold(chr(_i)) if chr(_i).isalpha() else 0
 
 
+def pieces(texts: list[str], most: int = TOGETHER) -> Iterator[list[tuple[int, str]]]:
+    """The texts as lists of (number, piece), each list of about ``most`` characters.
+    Pieces end behind a line's end, across which nothing is looked for."""
+    some, held = [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            end = t.find("\n", at + most) + 1 if len(t) - at > most else 0
+            part = t[at : end or len(t)]
+            some.append((i, part))
+            held += len(part)
+            if held >= most:
+                yield some
+                some, held = [], 0
+            if not end:
+                break
+            at = end
+    if some:
+        yield some
+
+
 def letters(text: str) -> np.ndarray:
     """1 to 26 for Latin letters less their accents, else 0."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -83,14 +106,14 @@ def letters(text: str) -> np.ndarray:
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
-    """log P(c | a, b) over all documents, from 27**3 counts, as float32[27, 27, 27]."""
+    """log P(c | a, b) over all documents (very long ones in pieces of whole lines), each
+    with two spaces before and behind, from 27**3 counts, as float32[27, 27, 27]."""
 
     def run(batches):
         total = np.zeros(27**3, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 500):
-                x = letters(" " + "  ".join(texts[k : k + 500]) + " ")
+            for group in pieces(b.column(0).to_pylist()):
+                x = letters("  " + "  ".join([t for _, t in group]) + "  ")
                 total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
@@ -184,10 +207,14 @@ class Restorer:
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """The words of each text, as it stands and as restored."""
-        found = [set(WORD.findall(t.lower())) for t in texts]
-        for i, begin, end in suspects(texts):
-            for token in tokens(texts[i], begin, end):
-                found[i] |= self.token(token)
+        found: list[set[str]] = [set() for _ in texts]
+        for group in pieces(texts):
+            for i, t in group:
+                found[i].update(WORD.findall(t.lower()))
+            parts = [t for _, t in group]
+            for k, begin, end in suspects(parts):
+                for token in tokens(parts[k], begin, end):
+                    found[group[k][0]] |= self.token(token)
         return found
 
 
@@ -262,14 +289,16 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
         model, known = sent.value
         restorer, counts = Restorer(model), {}
         for b in batches:
-            mine = [(known[d], b.column(1)[i].as_py()) for i, d in enumerate(b.column(0).to_pylist()) if d in known]
-            for (y, _), words in zip(mine, restorer.words([t for _, t in mine]), strict=True):
-                for f in features(words):
-                    c = counts.setdefault(f, [0, 0])
-                    c[y] += 1
-            if len(counts) > COUNTED:
-                yield batch(counts)
-                counts = {}
+            mine = [(known[d], i) for i, d in enumerate(b.column(0).to_pylist()) if d in known]
+            for lo in range(0, len(mine), 64):
+                part = mine[lo : lo + 64]
+                for (y, _), words in zip(part, restorer.words([b.column(1)[i].as_py() for _, i in part]), strict=True):
+                    for f in features(words):
+                        c = counts.setdefault(f, [0, 0])
+                        c[y] += 1
+                if len(counts) > COUNTED:
+                    yield batch(counts)
+                    counts = {}
         yield batch(counts)
 
     def batch(counts):
@@ -301,8 +330,10 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
         model, known = sent.value
         restorer = Restorer(model)
         for b in batches:
-            mine = [b.column(1)[i].as_py() for i, d in enumerate(b.column(0).to_pylist()) if known.get(d)]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(number[f] for f in features(w) if f in number) for w in restorer.words(mine)], pa.list_(pa.int32()))], ["held"])
+            mine = [i for i, d in enumerate(b.column(0).to_pylist()) if known.get(d)]
+            for lo in range(0, len(mine), 64):
+                words = restorer.words([b.column(1)[i].as_py() for i in mine[lo : lo + 64]])
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(number[f] for f in features(w) if f in number) for w in words], pa.list_(pa.int32()))], ["held"])
 
     # Features of at most LABELLED documents. A feature that explains fewer than NEW of the toxic ones that better ones leave unexplained is left out.
     left = [r.held for r in docs.select("doc_id", text_of().alias("text")).mapInArrow(held, "held array<int>").where(F.size("held") > 0).collect()]
@@ -365,8 +396,10 @@ def apply(docs: DataFrame, model, score: str = "score") -> DataFrame:
         lm, shares, base = model.value
         restorer, heads = Restorer(lm), {f[:4] for f in shares}
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            scores = [judge(words, shares, heads, base) for k in range(0, len(texts), 500) for words in restorer.words(texts[k : k + 500])]
+            scores = []
+            for k in range(0, b.num_rows, 64):
+                texts = [t or "" for t in b.column(at)[k : k + 64].to_pylist()]
+                scores += [judge(words, shares, heads, base) for words in restorer.words(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, score])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))

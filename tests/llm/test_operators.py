@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empties, ties, repeats, empty tables and clashing names."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -366,3 +367,119 @@ def test_topk_skips_blocks_of_clustered_vectors(spark):
     assert sorted(got) == want and index.scored < index.blocks / 2
     df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, v array<long>")
     assert sorted(map(tuple, topk.search(df, df.where("vec_id % 100 = 0")).collect())) == want
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 10_000])
+def test_toxicity_in_pieces(most, monkeypatch):
+    rng = np.random.default_rng(8)
+    some = ["".join(rng.choice(list("aab1.- \n!i"), rng.integers(0, 200))) for _ in range(200)]
+    for group in (parts := list(toxicity.pieces(some, most))):
+        assert all("\n" not in t[most:-1] for _, t in group)
+    assert ["".join(t for g in parts for j, t in g if j == i) for i in range(len(some))] == some
+    whole = toxicity.Restorer(idiot_model()).words(some)
+    monkeypatch.setattr(toxicity.pieces, "__defaults__", (most,))
+    assert toxicity.Restorer(idiot_model()).words(some) == whole
+
+
+def test_bpe_forgets_and_remembers(monkeypatch):
+    """Under a small bound states go and are made again; results stay, and so does the bound."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "ROOM", 400_000)
+    monkeypatch.setattr(bpe, "PAIRS", 1000)
+    c = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.fst.ranks, special_tokens={})
+    rng, most = np.random.default_rng(9), 0
+    for _ in range(30):
+        some = ["".join(rng.choice(list("abcdefghij étn12 "), rng.integers(0, 400))) for _ in range(20)] + ["".join(rng.choice(list("qwxyz"), 600))]
+        ids, n = c.encode_all(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [want.encode_ordinary(t) for t in some]
+        most = max(most, c.fst.room())
+    assert most < 1_200_000 and len(c.fst.pairs) <= 1000
+
+
+def test_utf8_machine():
+    rng = np.random.default_rng(10)
+    some = [0x41, 0xC3, 0xA9, 0xE0, 0xA0, 0x80, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xFF, 0xC0, 0xE2, 0x82, 0xAC]
+    for _ in range(5000):
+        data, machine, out, at = bytes(rng.choice(some, rng.integers(0, 9)).astype(np.uint8)), bpe.Utf8Machine(), b"", 0
+        while at < len(data):
+            n = int(rng.integers(1, 4))
+            out += machine.feed(data[at : at + n])
+            assert len(machine.rest) <= 3
+            at += n
+        assert out + machine.close() == data.decode("utf-8", "replace").encode()
+
+
+def test_neardup_maps_and_nearest(spark):
+    """Two groups that only some members link, and a bucket of several blocks, against brute force."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(80)]
+
+    def variant(words, share):
+        return [w if rng.random() > share else f"z{rng.integers(10**9)}" for w in words]
+
+    many, i = [], 0
+    for _ in range(2):
+        mid = variant(base, 0.12)
+        for _ in range(60):
+            many.append((i, " ".join(variant(mid, 0.07))))
+            i += 1
+    neardup_block, neardup.BLOCK = neardup.BLOCK, 16
+    try:
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in many], SCHEMA)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(df, 2).collect()}
+    finally:
+        neardup.BLOCK = neardup_block
+    assert got == brute_components(many, 2)
+
+
+def test_license_rules_have_their_keywords():
+    ordered = licenses.rules()[0]
+    assert all(r.keyword in r.regex.pattern for r in ordered) and len(ordered) > 250
+    for text, labels in (
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("permit license", ""), ("the MIT-License", "mit"),
+        ("https://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), ("license = \"MIT\"", "mit"), ("GPLv3+", "gpl-3.0"),
+    ):
+        assert licenses.examine(text)["labels"] == labels
+
+
+def test_license_suppression():
+    rng, ordered = np.random.default_rng(12), licenses.rules()[0]
+    rank = lambda f: (-ordered[f.rule].priority, f.start - f.end, f.rule, f.start)
+    for _ in range(300):
+        some = list({licenses.Found("x", int(s), int(s + rng.integers(1, 15)), int(rng.integers(len(ordered)))) for s in rng.integers(0, 30, 25)})
+        want = [f for f in some if not any(rank(g) < rank(f) and g.start <= f.start and g.end >= f.end for g in some)]
+        assert licenses.suppressed(some, ordered) == sorted(want, key=lambda f: (f.start, f.end, f.rule))
+
+
+def test_media_ends():
+    pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
+    revised, gz, png = pdf + b"\n2 0 obj\n<<>>\nendobj\nstartxref\n99\n%%EOF", gzip.compress(b"abc" * 100_000), media.store(b"a" * 576, "image/png")
+    data = b"xx" + pdf + b"junk" + png + revised + b"\n" + pdf + gz + b"zz" + gz
+    assert [data[m.start : m.end] for m in media.sniff(data)] == [pdf, png, revised, pdf, gz, gz]
+
+
+@pytest.mark.parametrize("text, score", [("hotel recipe 1.2.3.4", 0.7), ("our ip 1.2.3.4", 0.85), ("1.2.3.4 is the host", 0.85), ("version 1.2.3.4", 0.5)])
+def test_pii_context_is_words(text, score):
+    assert [s.score for s in pii.find(text)] == [score]
+
+
+def test_chat_examples(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, None, "user", "x" * 100_000)]
+    out = {r.pair_id: r for r in chat.examples(chat.preference(chat.paired(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()}
+    assert (out[0].prompt, out[0].chosen, out[0].rejected) == ("<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n")
+    assert [out[0].chosen[a:b] for a, b in out[0].chosen_loss] == ["yes"] and [out[0].rejected[a:b] for a, b in out[0].rejected_loss] == ["no"] and out[0].complete
+    assert len(out[1].chosen) > 100_000 and not out[1].complete
+
+
+@pytest.mark.parametrize("name, column, rest, least", [("op6_toxicity", "toxic", (3, 1), (0.95, 0.9, 0.6)), ("op9_quality", "quality", (5, 0), (0.97, 0.95, 0.95))])
+def test_held_out(spark, name, column, rest, least):
+    """Accuracy, precision and recall on the held-out rows of sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    got = catalog.queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    held = np.array([zlib.crc32(str(i).encode()) % rest[0] == rest[1] for i in got.doc_id])
+    assert (held == got.held_out).all() and got.score.between(0, 1).all()
+    y, p = got[held][column] == 1, got[held].predicted == 1
+    assert (y == p).mean() >= least[0] and (y & p).sum() >= least[1] * p.sum() and (y & p).sum() >= least[2] * y.sum()
