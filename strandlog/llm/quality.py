@@ -2,13 +2,13 @@
 
 Trusted positives are training rows labelled 1; the unlabelled set is a hash
 sample of all documents outside the hold-out, whatever their labels say. A first
-network tells positives from unlabelled; the least ratio of the two sets' shares
-above a score, with a margin for chance, estimates the class prior. A second one
-minimises the non-negative unbiased risk at that prior:
+network tells positives from unlabelled; the least ratio of the shares above a score,
+of positives and of all documents outside the hold-out, with a margin for chance,
+estimates the class prior. A second network minimises the non-negative unbiased risk at that prior:
 prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]).
 
-Each sample has at most ``SAMPLE`` rows (only their features reach the driver);
-every document is scored from its whole text. Null and empty texts have all-zero
+Each sample to fit on has at most ``SAMPLE`` rows (only their features reach the
+driver); every document is scored from its whole text. Null and empty texts have all-zero
 features; repeated rows are scored alike; rows without an id are scored but not
 learnt from. Without positives, or without other documents, the score is 0.5.
 """
@@ -118,13 +118,35 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) ->
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The estimated share of positives among the unlabelled, from scores of both."""
-    p, u = np.sort(positive), np.sort(unlabelled)
-    at = np.quantile(positive, np.linspace(0.02, 0.9, 89))
-    above_p = 1 - np.searchsorted(p, at) / len(p)
-    above_u = 1 - np.searchsorted(u, at) / len(u)
-    margin = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))
+def cuts(positive: np.ndarray) -> np.ndarray:
+    """Scores at which the positives and the unlabelled are compared."""
+    return np.quantile(positive, np.linspace(0.02, 0.9, 89))
+
+
+def reached(docs: DataFrame, net: Network, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of all these documents, how many have each score of ``at`` or more, and how many there are."""
+
+    def run(batches):
+        total = np.zeros(len(at) + 1, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            if texts:
+                score = np.sort(net.score(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)))
+                total += np.append(len(texts) - np.searchsorted(score, at), len(texts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "n"])
+
+    counted = docs.select(text_of().alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    n = np.zeros(len(at) + 1, np.int64)
+    for r in counted.collect():
+        n[r.i] = r.n
+    return n[:-1], int(n[-1])
+
+
+def class_prior(positive: np.ndarray, at: np.ndarray, above_u: np.ndarray, n: int) -> float:
+    """The estimated share of positives among the unlabelled: from scores of positives
+    and the share of n unlabelled ones that reach each score of ``at``."""
+    above_p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    margin = np.sqrt(np.log(40) / 2 / len(positive)) + np.sqrt(np.log(40) / 2 / n)
     best = np.argmin((above_u + margin) / above_p)  # the margin settles where to look
     # Too high a prior makes the negative part of the risk vanish early; one that is as much too low does little harm.
     return float(np.clip(above_u[best] / above_p[best] - margin / 2, 0.01, 0.99))
@@ -144,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable) -> tuple[Network, float]
     rng = np.random.default_rng(SEED)
     p, u = rng.permutation(np.array(p)), rng.permutation(np.array(u))
     half = train(p[::2], u[::2], None)
-    prior = class_prior(half.score(p[1::2] if len(p) > 1 else p), half.score(u[1::2] if len(u) > 1 else u))
+    scores = half.score(p[1::2] if len(p) > 1 else p)
+    at = cuts(scores)
+    above, n = reached(docs.where(F.col("doc_id").isNotNull() & learnable), half, at)
+    prior = class_prior(scores, at, above / n, n)
     return train(p, u, prior), prior
 
 

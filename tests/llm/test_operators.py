@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import io
 import math
 import re
+import wave
 import zlib
 
 import duckdb
@@ -81,6 +83,26 @@ def test_pii(spark, db, odd, empty):
     assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+def naive_redacted(text):
+    """Every character marked by a span; each stretch of marks replaced by its first kind."""
+    if text is None:
+        return None
+    kind, out, at = [None] * len(text), "", 0
+    spans = pii.find(text)
+    for s in spans:
+        assert text[s.start : s.end]
+    while at < len(text):
+        first = next((s for s in spans if s.start == at), None)
+        if first is None:
+            out, at = out + text[at], at + 1
+            continue
+        end = first.end
+        while (more := [s.end for s in spans if s.start < end < s.end]):
+            end = max(more)
+        out, at = out + f"[{first.kind.upper()}]", end
+    return out
+
+
 def test_licenses(spark, db, odd, empty):
     got = {r.doc_id: r for r in catalog.queries()["op5_licenses"](spark, SF).collect()}
     for i, t in texts(db):
@@ -102,6 +124,14 @@ def test_media(spark, db):
         raw = t.encode()
         want = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        kind, *rest = got[i].feature.split(";")
+        assert kind == media.STORED[zlib.crc32(want) % 4] and rest[2:] == [f"samples={len(want)}", f"sum={sum(want)}", f"min={min(want)}", f"max={max(want)}"]
+        if kind == "audio/wav":  # by another writer
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setparams((1, 1, 8000, 0, "NONE", ""))
+                w.writeframes(want)
+            assert (got[i].media_bytes, got[i].media_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
     for kind in media.STORED:
         for t in ("", "abc", "RIFF\x00BM P5 GIF89a", "é" * 5000):
             payload, _ = media.payload_of(t)
@@ -262,6 +292,30 @@ def test_pipeline(spark, tmp_path):
         if name == "near_dedup":
             want = {k for k, (_, c) in brute_components([(r.doc_id, r.text) for r in docs.collect()], 5).items() if k == c}
             assert {r.doc_id for r in after.collect()} == want
+        if name == "toxicity":
+            model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"), ~toxicity.held_out())
+            lm, shares, base = model.value
+            kept = set()
+            for r in docs.collect():
+                doubt = 1 - base
+                for w in toxicity.Restorer(lm).words([r.text or ""])[0]:
+                    doubt *= 1 - max([shares.get(f, 0.0) for f in toxicity.features({w})], default=0.0)
+                if 1 - doubt < toxicity.CUT:
+                    kept.add(r.doc_id)
+            assert {r.doc_id for r in after.collect()} == kept
+        if name == "pii":
+            assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: naive_redacted(r.text) for r in docs.collect()}
+        if name == "mixing":
+            db = duckdb.connect()
+            db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{i - 1}/*.parquet'")
+            copies = dict(db.sql(f"SELECT doc_id, copies FROM ({mixing.op3_sql()})").fetchall())
+            assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == copies
+        if name == "byte_bpe":
+            import public_tokenizers as P
+            import tiktoken
+
+            want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+            assert sorted((r.doc_id, list(r.ids)) for r in after.collect()) == sorted((r.doc_id, want.encode_ordinary(r.text or "")) for r in docs.collect())
         docs = after
     assert docs.count() > 0
 
