@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JSON_SCHEMA = "event_at_ns bigint, event_type string, aggregate_id array<string>, data string, sequence bigint"
@@ -19,6 +19,16 @@ def from_json(text: Column) -> Column:
     return F.from_json(text, JSON_SCHEMA)
 
 
+def write_lines(events: DataFrame, path: str) -> None:
+    """Events as JSON lines."""
+    events.select(*(c.split()[0] for c in JSON_SCHEMA.split(", "))).write.json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as events; a line that is none is an error."""
+    return spark.read.schema(JSON_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
 class Corrupt(ValueError):
     """Input ends early or has bytes left over."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +116,29 @@ def fold(log: DataFrame, init: Column, step) -> DataFrame:
     return log.groupBy(KEY).agg(events.alias("e")).select(KEY, F.aggregate("e", init, step).alias("state"))
 
 
+def fold_python(log: DataFrame, initial, appliers: dict) -> DataFrame:
+    """aggregate_key, state (JSON): an ordered left fold by Python appliers, {type:
+    f(state, data)}; types without one are skipped. Events stream by, an entity's one
+    after the other, so that only one state is held."""
+
+    def run(batches):
+        key, state, seen = None, None, False
+        for p in batches:
+            done = []
+            for k, kind, data in zip(p[KEY], p["event_type"], p["data"], strict=True):
+                if not seen or k != key:
+                    if seen:
+                        done.append((key, json.dumps(state)))
+                    key, state, seen = k, initial(), True
+                if kind in appliers:
+                    state = appliers[kind](state, data)
+            yield pd.DataFrame(done, columns=[KEY, "state"])
+        if seen:
+            yield pd.DataFrame([(key, json.dumps(state))], columns=[KEY, "state"])
+
+    return log.select(KEY, "sequence", "event_type", "data").repartition(KEY).sortWithinPartitions(KEY, "sequence").mapInPandas(run, f"{KEY} string, state string")
+
+
 def order_state(log: DataFrame) -> DataFrame:
     """aggregate_key, status, n_items, total_cents: a product added again replaces the earlier item."""
     item = log.where("event_type = 'order.item_added'").groupBy(KEY, "product_id").agg(F.max_by(F.struct("quantity", "cents"), "sequence").alias("i"))

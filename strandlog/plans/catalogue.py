@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, ids
+from ..functions import codec, ids, values
 from ..operators import views, writes
 from ..sources.adapters import order_log, user_log
 from ..sources.shared import shared_dir
@@ -231,6 +231,38 @@ def q34(s, d):
     return views.fold(user_log(s, d), F.lit(0).cast("long"), step).withColumnRenamed("state", "value")
 
 
+def q43(s, d):
+    """The counter as a fold by Python appliers."""
+    appliers = {"purchase": lambda n, _: n + 1, "view": lambda n, _: n - 1, "error": lambda n, _: 0}
+    return views.fold_python(user_log(s, d), int, appliers).select(KEY, F.col("state").cast("long").alias("value"))
+
+
+def q44(s, d):
+    """Events as JSON lines and back."""
+    path = f"{shared_dir(s)}/lines-{uuid.uuid4().hex}"
+    codec.write_lines(user_log(s, d), path)
+    return codec.read_lines(s, path).select(ids.key(F.col("aggregate_id")).alias(KEY), "sequence", "event_at_ns", "event_type", "data")
+
+
+def q45(s, d):
+    """Labels by laying each event's map over those before."""
+    maps = F.transform(F.sort_array(F.collect_list(F.struct("sequence", F.to_json("labels").alias("m")))), lambda e: F.from_json(e["m"], "map<string,string>"))
+    return user_log(s, d).groupBy(KEY).agg(maps.alias("maps")).select(KEY, F.explode(values.overlaid(F.col("maps"))).alias("label", "value"))
+
+
+def q46(s, d):
+    """Times of events."""
+    odd = F.col("event_at_ns") + F.pmod(F.col("sequence"), F.lit(3)) * 7
+    return user_log(s, d).select(KEY, "sequence", values.millis(odd).alias("millis"), values.rfc3339(odd).alias("at"))
+
+
+def q47(s, d):
+    """Commits as arrays of events, numbered again by their place from the commit's sequence on."""
+    events = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "event_type"))), lambda e: e["event_type"])
+    batches = user_log(s, d).groupBy(KEY, "commit_seq").agg(events.alias("batch"))
+    return batches.select(KEY, "commit_seq", F.posexplode("batch").alias("place", "event_type")).select(KEY, (F.col("commit_seq") + F.col("place")).alias("sequence"), "event_type")
+
+
 def q35(s, d):
     """Forms of an id and of a sequence."""
     heads = user_log(s, d).groupBy("aggregate_id", KEY).agg(F.max("sequence").alias("last"))
@@ -345,6 +377,11 @@ t AS (SELECT l_orderkey, count(*) AS n_items, sum(CAST(round(l_extendedprice * 1
         "q31": "SELECT aggregate_key, sequence, epoch_us(ts) * 1000 AS event_at_ns, event_type, props AS data FROM ev",
         "q32": "SELECT * FROM ct",
         "q34": "SELECT * FROM ct",
+        "q43": "SELECT * FROM ct",
+        "q44": "SELECT aggregate_key, sequence, epoch_us(ts) * 1000 AS event_at_ns, event_type, props AS data FROM ev",
+        "q45": "SELECT * FROM lv",
+        "q46": "SELECT aggregate_key, sequence, epoch_us(ts) // 1000 AS millis, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), CASE WHEN ns = 0 THEN '' ELSE concat('.', rtrim(lpad(CAST(ns AS VARCHAR), 9, '0'), '0')) END, 'Z') AS at FROM (SELECT *, (epoch_us(ts) * 1000 + 7 * (sequence % 3)) % 1000000000 AS ns FROM ev)",
+        "q47": "SELECT aggregate_key, sequence, event_type FROM ev",
         "q35": "SELECT aggregate_key, concat('[\"user\",\"', user_id, '\"]') AS display, replace(replace(rtrim(to_base64(encode(aggregate_key)), '='), '+', '-'), '/', '_') AS encoded, lpad(CAST(head - 1 AS VARCHAR), 20, '0') AS last FROM h",
         "q36": "SELECT aggregate_key, sequence, epoch_us(ts) * 1000 AS event_at_ns, event_type, props AS data, CAST(user_id AS VARCHAR) AS user FROM ev",
         "q37": "SELECT aggregate_key, CAST(coalesce(sum(CASE WHEN sequence % 4 <> 3 THEN k END), 0) AS BIGINT) AS total FROM ev GROUP BY 1",
@@ -364,6 +401,7 @@ NAMES = {
     "q17": "q17_newest_snapshot", "q18": "q18_snapshot_tail", "q19": "q19_snapshot_due", "q20": "q20_append", "q21": "q21_conflicts", "q22": "q22_retained", "q23": "q23_absent",
     "q24": "q24_archive", "q25": "q25_live", "q26": "q26_pending", "q27": "q27_audit", "q28": "q28_dispatch", "q29": "q29_label_values", "q30": "q30_counts", "q31": "q31_binary_codec", "q32": "q32_stream", "q33": "q33_chain",
     "q34": "q34_fold", "q35": "q35_id_forms", "q36": "q36_json_codec", "q37": "q37_typed", "q38": "q38_store_by_status", "q39": "q39_store_by_label", "q40": "q40_store_list", "q41": "q41_store_label_values", "q42": "q42_store_status",
+    "q43": "q43_fold_python", "q44": "q44_json_lines", "q45": "q45_label_overlay", "q46": "q46_times", "q47": "q47_unnested_commits",
 }
 
 

@@ -253,3 +253,32 @@ def test_stream_after_a_restart_and_rebuilt(spark, tmp_path):
     out.clear()
     go("anew")  # a projection is rebuilt from the log by a new checkpoint
     assert out == {"a": (1, 6)} == {r.aggregate_key: (r.value, 6) for r in views.counter(log).collect()}
+
+
+def test_json_lines_are_checked(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"event_at_ns": 1, "event_type": "n", "aggregate_id": ["a"], "data": "", "sequence": 0}\n{"event_at_ns": \n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
+        codec.read_lines(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_archive_records_as_a_stream(spark, tmp_path):
+    store, seen = EventStore(spark, str(tmp_path / "s")), []
+    for a in ("a", "b"):
+        store.append([a], 0, [event(a)])
+
+    def go():
+        feed.publish(store, lambda batch: seen.extend(r.aggregate_key for r in batch.collect()), str(tmp_path / "cp"), "archived").trigger(availableNow=True).start().awaitTermination()
+
+    go()
+    store.archive(["b"])
+    store.archive(["a"])
+    go()
+    assert seen == ["1:b;", "1:a;"]
+
+
+def test_config():
+    c = Config().overlaid(max_retries=3, trim=None)
+    assert (c.max_retries, c.trim, c.overlaid(trim=True).max_retries) == (3, False, 3)
+    for bad in ({"max_retries": 0}, {"snapshot_ratio": -1.0}, {"cache": -1}):
+        with pytest.raises(ValueError):
+            Config().overlaid(**bad)
