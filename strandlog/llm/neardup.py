@@ -338,9 +338,8 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     sketched = stored(sketches(docs, words), "sketches")
-    classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    leaders = sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    leading = leaders.select("doc_id", F.explode("bands").alias("key"))
+    classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    leading = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     # Apart from the count, so that a bucket with many members can be split in the join.
     buckets = stored(leading.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     with bloom_filters(spark):
@@ -376,13 +375,31 @@ def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
         if m:
             apart = still_apart(members, found)
 
-    whole = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    whole = classes.select("set_hash", "rep").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     # An empty set has no class; under a key of its own it does not meet the others in one task.
     own = F.coalesce("set_hash", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")).alias("set_hash")
     return sketched.select("doc_id", "n_shingles", own).join(whole, "set_hash", "left").select("doc_id", "n_shingles", component)
 
 
+#: Bits at most, and for each id, of the map by which ids are looked for before a join.
+MAP_BITS, EACH = 1 << 26, 16
+
+
+def apart_from(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose doc_id is not among ids for sure, and all others. By a map of a
+    bit for each hash of an id; it has at most MAP_BITS / 64 rows, which are broadcast.
+    The more ids there are for it, the more rows are among the others."""
+    size = min(MAP_BITS, max(1 << 12, 1 << (EACH * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {size}) % 64 as int))")
+    words = ids.groupBy(word.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {size}) % 64 as int)))").alias("bits"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), word.alias("word"), bit.alias("bit"))
+    marked = row.join(F.broadcast(stored(words, "words")), "word", "left")
+    among = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return marked.where(~among).select("row.*"), marked.where(among).select("row.*")
+
+
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest
     id; of rows with the same id and text one stays. Rows without an id are compared
@@ -392,10 +409,12 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
         top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
         nameless = stored(nameless.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top + 1)), "nameless")
         docs = docs.where("doc_id is not null").union(nameless)
-    keep = stored(cluster(docs, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.expr("doc_id = component_id")).alias("first")).where("first"), "keep")
-    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi").select(columns)
-    if not keep.where("rows > 1").isEmpty():
-        kept = kept.union(docs.join(keep.where("rows > 1"), "doc_id", "left_semi").select(columns).dropDuplicates(["doc_id", "text"]))
+    found = cluster(docs, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.expr("doc_id = component_id")).alias("first"))
+    # All other ids stay as they are, and their texts where they are.
+    touched = stored(found.where("rows > 1 or not first"), "touched")
+    untouched, rest = apart_from(docs, touched)
+    repeated = rest.join(touched.where("first"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = untouched.union(rest.join(touched, "doc_id", "left_anti").select(columns)).union(repeated.select(columns))
     return kept if top is None else kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
 
 
