@@ -7,7 +7,7 @@ version throughout. Writers check versions against the version they read and
 publish the next; whoever loses re-reads and checks again.
 
 Folders are merged in tiers of ``FAN``, so that a row is rewritten a few times at most
-and a manifest stays short. Every row carries the version that published it; to
+and a manifest stays short; what is archived, trimmed or superseded goes then. Every row carries the version that published it; to
 archive an entity is to note the version up to which its rows are gone.
 
 Status and labels are kept apart from events, as index rows, and outlive trimming.
@@ -153,6 +153,8 @@ class EventStore:
                 if len(old) < FAN:
                     continue
                 rows = self._alive(self.read(old, schema), m)
+                if kind == "events" and self.config.trim and m["snapshots"]:
+                    rows = writes.retained(rows, self.snapshots(m))
                 name = self._write((writes.newest(rows) if kind == "snapshots" else rows).coalesce(1 if tier == 0 else 8), kind)
                 m = self.manifest()
                 if set(old) <= {p for p, _ in m[kind]}:

@@ -143,6 +143,13 @@ def test_folders_are_merged(spark, tmp_path, monkeypatch):
     for i in range(10):
         store.append(["a"], i, [event(str(i))])
     assert len(store.manifest()["events"]) <= 4 and [e["event_type"] for e in store.get_events(["a"])] == list(map(str, range(10)))
+    trims = EventStore(spark, str(tmp_path / "t"), Config(trim=True))
+    trims.append(["a"], 0, [event(str(i)) for i in range(5)])
+    trims.put_snapshot(["a"], {}, 4)
+    for i in (5, 6):
+        trims.append(["a"], i, [event(str(i))])
+    m = trims.manifest()
+    assert len(m["events"]) == 1 and trims.read([m["events"][0][0]], "sequence long").count() == 3 and trims.head(["a"]) == 7
 
 
 def test_filter_by_key_reaches_the_files(spark, tmp_path):
