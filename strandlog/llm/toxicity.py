@@ -12,7 +12,7 @@ score is that of at least one of its words being meant (noisy or).
 The trigram counts cover all documents, the counts of words at most ``LABELLED``
 labelled ones, from which labels are learnt. A feature is kept if a document that
 holds it and nothing else would be rejected, if its counts are surer than the number
-of features looked at explains, and if it is needed beside better ones. What reaches
+of features looked at explains, and if it is beyond doubt or needed beside better ones. What reaches
 the driver is bounded: 27**3 trigram counts, and the kept features of at most
 ``LABELLED`` documents.
 
@@ -46,6 +46,8 @@ TOGETHER = 300_000
 #: Nats by which a feature's likelihood ratio must exceed the logarithm of the number of features tried;
 #: documents that it alone explains.
 SURE, NEW = 2.0, 2
+#: Pseudo-documents at the base rate, and the share beside them, for a feature to be kept whatever others explain.
+DOUBT, STRONG = 8.0, 0.9
 CUT = 0.7
 #: What a character may stand for besides itself (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -335,10 +337,12 @@ def learn(docs: DataFrame, labels: DataFrame, lm: np.ndarray, train) -> tuple[di
                 words = restorer.words([b.column(1)[i].as_py() for i in mine[lo : lo + 64]])
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(number[f] for f in features(w) if f in number) for w in words], pa.list_(pa.int32()))], ["held"])
 
-    # Features of at most LABELLED documents. A feature that explains fewer than NEW of the toxic ones that better ones leave unexplained is left out.
+    strong = {r.f for r in rows if (r.n1 + DOUBT * base) / (r.n0 + r.n1 + DOUBT) >= STRONG}
+    # Features of at most LABELLED documents. Of weaker features, one that explains fewer than NEW of the toxic ones that better ones leave unexplained is left out.
     left = [r.held for r in docs.select("doc_id", text_of().alias("text")).mapInArrow(held, "held array<int>").where(F.size("held") > 0).collect()]
     sent.unpersist()
-    return {order[i]: shares[order[i]] for i in cover(left, [math.log(p / (1 - p)) for p in shares.values()])}, base
+    kept = strong | {order[i] for i in cover(left, [math.log(p / (1 - p)) for p in shares.values()])}
+    return {f: p for f, p in shares.items() if f in kept}, base
 
 
 def cover(rows: list[list[int]], weight: list[float]) -> list[int]:

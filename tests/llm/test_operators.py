@@ -528,7 +528,7 @@ def test_chat_examples(spark):
     assert len(out[1].chosen) > 100_000 and not out[1].complete
 
 
-@pytest.mark.parametrize("name, column, rest, least", [("op6_toxicity", "toxic", (3, 1), (0.95, 0.9, 0.6)), ("op9_quality", "quality", (5, 0), (0.97, 0.95, 0.95))])
+@pytest.mark.parametrize("name, column, rest, least", [("op6_toxicity", "toxic", (3, 1), (0.96, 0.95, 0.7)), ("op9_quality", "quality", (5, 0), (0.97, 0.95, 0.95))])
 def test_held_out(spark, name, column, rest, least):
     """Accuracy, precision and recall on the held-out rows of sf0.1."""
     sf = "/root/testdata/sf0.1"
