@@ -433,7 +433,7 @@ class Utf8Machine:
     for each longest beginning of a character."""
 
     NEXT = utf8_table()
-    WIDE = re.compile(rb"[\x80-\xff]+")
+    WIDE = re.compile(rb"[\x80-\xff]")
     BAD = "\ufffd".encode()
 
     def __init__(self):
@@ -444,10 +444,8 @@ class Utf8Machine:
         if self.state == DONE and chunk.isascii():
             return chunk
         out: list[bytes] = []
-        state, begin, done, step = self.state, -len(self.rest), -len(self.rest), self.NEXT
-        chunk, shift = self.rest + chunk, len(self.rest)
-        begin, done, at = 0, 0, shift  # of the character; up to where out is complete
-        wide = self.WIDE.search(chunk, at)
+        state, step, at, chunk = self.state, self.NEXT, len(self.rest), self.rest + chunk
+        begin = done = 0  # of the unfinished character; up to where out is complete
         while at < len(chunk):
             if state == DONE:  # on to the next byte that is not ASCII
                 wide = self.WIDE.search(chunk, at)
@@ -610,11 +608,11 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One per worker process and vocabulary."""
-    found = _codecs.get((path, pattern))
-    if found is None:
-        found = _codecs[path, pattern] = Codec(path, pattern)
-    return found
+    """The worker process keeps the one that it used last."""
+    if (path, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
 
 
 def bites(texts: list[str]) -> Iterator[slice]:

@@ -248,8 +248,8 @@ def across(rest: DataFrame, nearest: bool) -> DataFrame:
     def run(batches):
         here, held = None, None
 
-        def pairs(x: tuple, visits: bool):
-            ids, component, lead, is_minor, n, parity = x
+        def pairs(x: tuple):
+            ids, component, lead, _, n, parity = x
             o_ids, o_component, _, o_minor, o_n, o_parity = held
             for at in range(0, len(ids), 128):
                 part = slice(at, at + 128)
@@ -276,7 +276,7 @@ def across(rest: DataFrame, nearest: bool) -> DataFrame:
         def begun():
             """Pairs inside a block, once it is complete."""
             minors = held[3]
-            yield from pairs(tuple(x[minors] for x in held), False)
+            yield from pairs(tuple(x[minors] for x in held))
 
         waiting = False
         for b in batches:
@@ -291,7 +291,7 @@ def across(rest: DataFrame, nearest: bool) -> DataFrame:
                         if waiting:
                             yield from begun()
                             waiting = False
-                        yield from pairs(x, True)
+                        yield from pairs(x)
                     continue
                 if here == (key[lo], block[lo]):
                     held = tuple(np.concatenate(y) for y in zip(held, x, strict=True))
