@@ -289,3 +289,23 @@ def test_config():
     for bad in ({"max_retries": 0}, {"snapshot_ratio": -1.0}, {"cache": -1}):
         with pytest.raises(ValueError):
             Config().overlaid(**bad)
+
+
+def test_large_batches_and_payloads(spark, tmp_path):
+    store, a = EventStore(spark, str(tmp_path / "s")), ["big\x1f", "ä;3:"]
+    store.append(a, 0, [event(str(i)) for i in range(300)])
+    big = json.dumps({"x": "é" * 98_304})
+    store.append(a, 300, [event("big", big) for _ in range(24)])
+    got = store.get_events(a, 299)
+    assert [e["sequence"] for e in got] == list(range(299, 324)) and got[-1]["data"] == big and got[0]["aggregate_id"] == a
+    assert store.get_events(a, -5)[0]["sequence"] == 0 and store.get_events(a, 400) == [] and store.head(a) == 324
+
+
+def test_versions_are_stable(spark, tmp_path):
+    """A reader of one version does not see later ones."""
+    store = EventStore(spark, str(tmp_path / "s"))
+    store.append(["a"], 0, [event()])
+    old = store.manifest()
+    store.append(["a"], 1, [event()])
+    store.archive(["a"])
+    assert store.events(old).count() == 1 and store.head(["a"], old) == 1 and store.head(["a"]) == 0
