@@ -2,9 +2,9 @@
 
 An Aho-Corasick automaton locates the magic bytes of all formats in one pass;
 each format's validator then confirms structure and length and tells where the
-medium ends. The first medium that begins at offset 0 gives the true type; others
-are carved out. Magic bytes without a valid structure behind them count for
-nothing, nor do those inside a medium that was confirmed.
+medium ends. The medium that begins at offset 0 gives the true type; others, beside it
+or inside, are carved out. Magic bytes without a valid structure behind them count for
+nothing, nor does what reaches beyond the medium that it begins in.
 
 ``store`` puts any payload losslessly into a container whose unit is an 8-bit
 sample (WAV, PCM mono), an 8-bit grey pixel (PGM, PNG) or an 8-bit pixel (BMP).
@@ -38,9 +38,12 @@ class Hopeless(Exception):
 
 
 class Medium(NamedTuple):
+    """depth: how many confirmed media it lies in."""
+
     kind: str
     start: int
     end: int
+    depth: int = 0
 
 
 def wav_end(b: bytes, at: int) -> int | None:
@@ -198,21 +201,24 @@ def automaton():
     return _automaton
 
 
-def sniff(b: bytes) -> list[Medium]:
-    """Confirmed media in order, outermost only."""
-    found, done, hopeless = [], 0, set()
+def sniff(b: bytes, nested: bool = False) -> list[Medium]:
+    """Confirmed media in order; outermost only, or also those inside others. Each hit is looked at once."""
+    found, done, hopeless, around = [], 0, set(), []
     hits = sorted((end + 1 - n, i) for end, (i, n) in automaton().iter(b.decode("latin-1")))
     for at, i in hits:
-        if at < done or i in hopeless:
+        if (at < done and not nested) or i in hopeless:
             continue
+        while around and around[-1] <= at:
+            around.pop()
         try:
             end = FORMATS[i][2](b, at)
         except Hopeless:
             hopeless.add(i)
             continue
-        if end is not None:
-            found.append(Medium(FORMATS[i][1], at, end))
-            done = end
+        if end is not None and (not around or end <= around[-1]):
+            found.append(Medium(FORMATS[i][1], at, end, len(around)))
+            around.append(end)
+            done = max(done, end)
     return found
 
 
@@ -263,17 +269,18 @@ STORED = ("audio/wav", "image/x-portable-graymap", "image/bmp", "image/png")
 
 def inspect(media: DataFrame, content: str = "content", declared: str = "declared", carve: bool = False) -> DataFrame:
     """media with detected (the type), mismatched (it isn't the declared one), and
-    embedded: array of (kind, start, end), with the bytes where ``carve``."""
+    embedded: array of (kind, start, end, depth), with the bytes where ``carve``: media
+    beside the first and inside others (depth: in how many)."""
     drop = [c for c in ("detected", "mismatched", "embedded") if c in media.columns]
     media = media.drop(*drop)
     at, as_ = media.columns.index(content), media.columns.index(declared)
-    item = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())] + [("bytes", pa.binary())] * carve
+    item = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32())] + [("bytes", pa.binary())] * carve
 
     def run(batches):
         for b in batches:
             kinds, differs, inner = [], [], []
             for data, said in zip(b.column(at).to_pylist(), b.column(as_).to_pylist(), strict=True):
-                found = sniff(data) if data is not None else []
+                found = sniff(data, nested=True) if data is not None else []
                 kind = None if data is None else found[0].kind if found and found[0].start == 0 else UNKNOWN
                 kinds.append(kind)
                 differs.append(None if kind is None or said is None else kind != said)
@@ -282,7 +289,7 @@ def inspect(media: DataFrame, content: str = "content", declared: str = "declare
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "detected", "mismatched", "embedded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return media.mapInArrow(run, f"{schema}, detected string, mismatched boolean, embedded array<struct<kind:string,start:long,end:long{',bytes:binary' * carve}>>")
+    return media.mapInArrow(run, f"{schema}, detected string, mismatched boolean, embedded array<struct<kind:string,start:long,end:long,depth:int{',bytes:binary' * carve}>>")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -513,6 +513,10 @@ def test_media_ends():
     revised, gz, png = pdf + b"\n2 0 obj\n<<>>\nendobj\nstartxref\n99\n%%EOF", gzip.compress(b"abc" * 100_000), media.store(b"a" * 576, "image/png")
     data = b"xx" + pdf + b"junk" + png + revised + b"\n" + pdf + gz + b"zz" + gz
     assert [data[m.start : m.end] for m in media.sniff(data)] == [pdf, png, revised, pdf, gz, gz]
+    sound = media.store((png + gz + b"RIFF").ljust(5760, b"x"), "audio/wav")
+    found = media.sniff(b"-" + sound + png, nested=True)
+    assert [(m.kind, m.depth) for m in found] == [("audio/wav", 0), ("image/png", 1), ("application/gzip", 1), ("image/png", 0)]
+    assert [m.kind for m in media.sniff(b"-" + sound + png)] == ["audio/wav", "image/png"]
 
 
 @pytest.mark.parametrize("text, score", [("hotel recipe 1.2.3.4", 0.7), ("our ip 1.2.3.4", 0.85), ("1.2.3.4 is the host", 0.85), ("version 1.2.3.4", 0.5)])
