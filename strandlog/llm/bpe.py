@@ -33,11 +33,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes that states and steps may take; pairs of tokens remembered; longest piece, in bytes, that walks the table with others; characters of text taken at once.
-ROOM, PAIRS, PIECE, BATCH = 96 << 20, 200_000, 256, 1 << 20
+ROOM, PAIRS, PIECE, BATCH = 64 << 20, 100_000, 256, 1 << 20
 #: About what a state takes besides its description, in bytes, and a step in the table when that is half full.
 STATE, STEP = 220, 32
 
@@ -634,6 +634,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     vocabulary, looked up where the task runs).
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         import public_tokenizers
 
@@ -657,6 +659,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, text of rows with doc_id, ids; null ids give null text."""
 
+    small_batches(encoded.sparkSession)
+
     def run(batches):
         import public_tokenizers
 

@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows at most that go to a Python worker at once.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: batches of ROWS keep the memory of workers, and of the JVM's
+    buffers for them, small. Holds for what the session plans from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts the
     lineage, survives lost executors, and gives the planner a true size."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

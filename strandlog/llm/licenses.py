@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 from .license_rules import RULES
 
 WORD = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -162,6 +162,8 @@ def detect(docs: DataFrame, *, detections: bool = True) -> DataFrame:
     spans (label, start, end, priority) left after suppression, in code points."""
     kinds = COLUMNS | ({"detections": pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int64())]))} if detections else {})
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = [examine(t) for t in b.column(1).to_pylist()]

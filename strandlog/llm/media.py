@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 UNKNOWN = "application/octet-stream"
 #: A payload is a multiple of BLOCK bytes, filled up with FILL; a row of pixels has WIDTH.
@@ -276,6 +276,8 @@ def inspect(media: DataFrame, content: str = "content", declared: str = "declare
     at, as_ = media.columns.index(content), media.columns.index(declared)
     item = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32())] + [("bytes", pa.binary())] * carve
 
+    small_batches(media.sparkSession)
+
     def run(batches):
         for b in batches:
             kinds, differs, inner = [], [], []

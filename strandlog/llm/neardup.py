@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import small_batches, stored, table, text_of
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
@@ -337,6 +337,7 @@ def still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    small_batches(spark)
     sketched = stored(sketches(docs, words), "sketches")
     classes = stored(sketched.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     leading = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))

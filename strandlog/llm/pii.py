@@ -20,7 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "key")
@@ -164,6 +164,8 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, score>> of each row."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             spans = [[s._asdict() for s in find(t)] for t in b.column(1).to_pylist()]
@@ -176,6 +178,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with the personal data in column text replaced; other columns stay as they are."""
     at = docs.columns.index("text")
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             texts = [t if t is None else redact(t, find(t)) for t in b.column(at).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, label_sample, smallest_hashes, table, text_of
+from .common import id_crc, label_sample, small_batches, smallest_hashes, table, text_of
 
 SAMPLE, CUT, SEED = 20_000, 0.3, 7
 HIDDEN, ROUNDS, RATE, DECAY = 16, 400, 0.02, 1e-4
@@ -157,6 +157,7 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable) -> tuple[Network, float] | None:
+    small_batches(docs.sparkSession)
     positives = {i for i, y in label_sample(labels, "quality", learnable & (F.col("quality") == 1), SAMPLE).items() if y == 1}
     others = {r.doc_id for r in smallest_hashes(docs.where(F.col("doc_id").isNotNull() & learnable).select("doc_id"), SAMPLE, SEED).collect()}
     found = features_of(docs, positives | others)
@@ -176,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable) -> tuple[Network, float]
 def apply(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
     """doc_id, score of each document."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_crc, label_sample, stored, table, text_of, unused
+from .common import id_crc, label_sample, small_batches, stored, table, text_of, unused
 
 #: Labelled rows learnt from, at most; documents a feature needs; pseudo-documents at the base rate; features a task counts before it passes them on.
 LABELLED, LEAST, SHRINK, COUNTED = 60_000, 4, 2.0, 100_000
@@ -374,6 +374,7 @@ def cover(rows: list[list[int]], weight: list[float]) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, train):
     """The model, broadcast: character model, features, base rate."""
+    small_batches(docs.sparkSession)
     lm = trigrams(docs)
     shares, base = learn(docs, labels, lm, train)
     return docs.sparkSession.sparkContext.broadcast((lm, shares, base))
@@ -396,6 +397,8 @@ def apply(docs: DataFrame, model, score: str = "score") -> DataFrame:
         raise ValueError(f"a column is named {score} already")
     at = docs.columns.index("text")
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         lm, shares, base = model.value
         restorer, heads = Restorer(lm), {f[:4] for f in shares}
