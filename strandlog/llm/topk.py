@@ -73,6 +73,12 @@ class Index:
         begins = np.arange(0, len(x), BLOCK)
         self.low, self.high = np.minimum.reduceat(self.x, begins), np.maximum.reduceat(self.x, begins)
         self.blocks = self.scored = 0
+        self._kinds: dict[type, tuple] = {}
+
+    def _as(self, kind: type) -> tuple:
+        if kind not in self._kinds:
+            self._kinds[kind] = tuple(a.astype(kind, copy=False) for a in (self.x, self.low, self.high))
+        return self._kinds[kind]
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
         """(query's place, ids, scores) of the k best for each query that reach its floor, less its own rows."""
@@ -80,7 +86,7 @@ class Index:
         if largest >= 1 << 63:
             raise OverflowError("scores may not fit into 64 bits")
         kind = np.float64 if largest < 1 << 53 else np.int64
-        q, x, low, high = (a.astype(kind) for a in (q, self.x, self.low, self.high))
+        q, (x, low, high) = q.astype(kind), self._as(kind)
         bounds = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
         order = np.argsort(-bounds, axis=1, kind="stable")
         self.blocks += order.size
