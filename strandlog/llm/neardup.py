@@ -331,7 +331,9 @@ def still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
     where = stored(where, "placed")
     sizes = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("x"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return stored(where.join(mixed.select("key", "size", F.col("x.component").alias("largest")), "key"), "apart")
+    # Written first, so that a bucket with many members can be split in the join.
+    mixed = stored(mixed.select("key", "size", F.col("x.component").alias("largest")), "mixed")
+    return stored(where.join(mixed, "key"), "apart")
 
 
 def cluster(docs: DataFrame, words: int = 5) -> DataFrame:
